@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import written
+
 #: Labelled rows that are fitted on at most (those with the smallest hash of the id).
 MAX_ROWS = 20_000
 #: Terms of the lexicon at most.
@@ -63,10 +66,11 @@ class Lexicon:
 
             a = ahocorasick.Automaton()
             for term, weight in self.terms.items():
-                a.add_word(term, (len(term), weight))
+                stem = term.rstrip("*")
+                a.add_word(stem, (len(stem), weight, term.endswith("*"), term))
             for phrase in self.exceptions:
                 if f := fold(phrase).strip():
-                    a.add_word(f, (len(f), 0.0))
+                    a.add_word(f, (len(f), 0.0, False, ""))
             if len(a):
                 a.make_automaton()
             self._automaton = a
@@ -75,27 +79,27 @@ class Lexicon:
     def __getstate__(self):
         return self.__dict__ | {"_automaton": None}
 
-    def matches(self, folded: str) -> list[tuple[int, int, float]]:
-        """Spans of whole words, without those inside an exception phrase; of nested terms the longest counts."""
+    def matches(self, folded: str) -> list[tuple[int, int, float, str]]:
+        """Start, end, weight and term of each match of a whole word or of a word's beginning, without those inside an exception phrase; of nested terms the longest counts."""
         a = self.automaton()
         if not len(a):
             return []
         found = []
-        for end, (n, weight) in a.iter(folded):
+        for end, (n, weight, open_, term) in a.iter(folded):
             start = end + 1 - n
-            if (start == 0 or not folded[start - 1].isalnum()) and (end + 1 == len(folded) or not folded[end + 1].isalnum()):
-                found.append((start, end + 1, weight))
+            if (start == 0 or not folded[start - 1].isalnum()) and (open_ or end + 1 == len(folded) or not folded[end + 1].isalnum()):
+                found.append((start, end + 1, weight, term))
         out, reach = [], -1
-        for start, stop, weight in sorted(found, key=lambda x: (x[0], -x[1])):
-            if stop > reach:
-                reach = stop
-                out.append((start, stop, weight))
+        for x in sorted(found, key=lambda x: (x[0], -x[1])):
+            if x[1] > reach:
+                reach = x[1]
+                out.append(x)
         return [x for x in out if x[2]]
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Log of the matched weight, and of the weight per thousand words."""
         folded = fold(text)
-        total = sum(w for _, _, w in self.matches(folded))
+        total = sum(m[2] for m in self.matches(folded))
         if not total:
             return 0.0, 0.0
         words = folded.count(" ") + folded.count("\n") + 1
@@ -120,65 +124,95 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
+def _candidates(words: set[str]) -> set[str]:
+    """Whole words, and stems of four to eight letters, marked by a star."""
+    return words | {w[:n] + "*" for w in words for n in range(4, min(len(w), 9))}
+
+
+def _fit_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learn a lexicon from labelled documents of the training fold.
+    """Learn a lexicon of words and stems from labelled documents of the training fold.
 
     Of the labelled ids, the ``max_rows`` with the smallest hash are used; that bounds what is
-    broadcast, aggregated and sent back (counts of at most MAX_TERMS words, and three numbers a row).
-    Words are counted once for each distinct text, so copies weigh nothing. A word is listed if the
-    lower 95 % bound of its log odds ratio is over log 3. Null ids, null labels and null texts are
-    left out; of an id with several labels the highest counts. No positive row: an empty lexicon.
+    broadcast, aggregated and sent back (counts of MAX_TERMS candidates, and three numbers a row).
+    Of rows with the same sketch (the three smallest word hashes), which copies and most near copies
+    have, one is counted. A candidate needs 3 % of the positive rows, and five, and a lower 99 % bound
+    of its log odds ratio over log 3. Candidates are taken by their z score, longer ones first among
+    equals, and none that begins like one already taken. Null ids, labels and texts are left out; of
+    an id with several labels the highest counts. Without a positive row the lexicon is empty.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & training_fold(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    def words(batches):
+    def sketches(batches):
         for b in batches:
-            key, toxic, word = [], [], []
-            for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                own = {w for w in _WORD.findall(fold(text)) if 2 < len(w) < 40}
-                key += [hash_text(text)] * len(own)
-                toxic += [label] * len(own)
-                word += own
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(toxic, pa.int32()), pa.array(word, pa.string())], names=["key", "toxic", "word"])
-
-    texts = rows.select(F.xxhash64("text").alias("k"), "toxic").groupBy("toxic").agg(F.count_distinct("k").alias("n"))
-    n = {r.toxic: r.n for r in texts.collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
+            s = [sketch(set(_WORD.findall(fold(t)))) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("toxic"), pa.array(s, pa.int64())], names=["doc_id", "toxic", "sketch"])
+
+    one = _fit_rows(docs, chosen).mapInArrow(sketches, "doc_id long, toxic int, sketch long").groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    one = written(one.select("doc_id", "toxic"), "labelled")
+
+    def counts(batches):
+        for b in batches:
+            by = Counter(), Counter()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                by[toxic > 0].update(_candidates({w for w in _WORD.findall(fold(text)) if 2 < len(w) < 40}))
+            terms = list(by[1])  # a candidate without a positive row can't be listed
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([by[k][t] for t in terms], pa.int64()) for k in (1, 0))], names=["term", "a", "b"])
+
+    def rest(batches):
+        for b in batches:
+            by = Counter()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                if toxic <= 0:
+                    by.update(listed.value & _candidates({w for w in _WORD.findall(fold(text)) if 2 < len(w) < 40}))
+            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array(list(by.values()), pa.int64())], names=["term", "b"])
+
+    n = {r.toxic: r["count"] for r in one.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
+    pos, neg = n.get(True, 0), n.get(False, 0)
     if not pos:
-        return Lexicon({}, exceptions, (-4.0, 1.0, 1.0))
-    a = F.count_distinct(F.when(F.col("toxic") == 1, F.col("key")))
-    b = F.count_distinct(F.when(F.col("toxic") == 0, F.col("key")))
-    counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words, "key long, toxic int, word string").groupBy("word").agg(a.alias("a"), b.alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (pos - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (neg - F.col("b") + 0.5))
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (pos - F.col("a") + 0.5) + 1 / (F.col("b") + 0.5) + 1 / (neg - F.col("b") + 0.5))
-    least = max(3, round(0.02 * pos))
-    top = (
-        counted.where(F.col("a") >= least).select("word", odds.alias("w"), (odds - 1.96 * error).alias("low"))
-        .where(F.col("low") > float(np.log(3))).orderBy(F.desc("low"), "word").limit(MAX_TERMS)
-    )
-    lexicon = Lexicon({r.word: float(r.w) for r in top.collect()}, exceptions)
+        return Lexicon({}, exceptions)
+    rows, spark = _fit_rows(docs, one).select("text", "toxic"), docs.sparkSession
+    often = rows.where("toxic > 0").mapInArrow(counts, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"))
+    often = often.where(F.col("a") >= max(5, round(0.03 * pos))).orderBy(F.desc("a"), "term").limit(50 * MAX_TERMS)
+    a = {r.term: r.a for r in often.collect()}
+    listed = spark.sparkContext.broadcast(set(a))
+    b = {r.term: r.b for r in rows.mapInArrow(rest, "term string, b long").groupBy("term").agg(F.sum("b").alias("b")).collect()}
+    scored = []
+    for term in a:
+        x, y = a[term], b.get(term, 0)
+        cells = x + 0.5, pos - x + 0.5, y + 0.5, neg - y + 0.5
+        odds, error = float(np.log(cells[0] * cells[3] / cells[1] / cells[2])), float(np.sqrt(sum(1 / c for c in cells)))
+        if odds - 2.58 * error > np.log(3):
+            scored.append((-odds / error, -len(term.rstrip("*")), term, odds))
+    terms: dict[str, float] = {}
+    for *_, term, odds in sorted(scored):
+        stem = term.rstrip("*")
+        if len(terms) < MAX_TERMS and not any(stem.startswith(t.rstrip("*")) or t.startswith(stem) for t in terms):
+            terms[term] = odds
+    lexicon = Lexicon(terms, exceptions)
 
     def measured(batches):
         for b in batches:
             x = [lexicon.features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), b.column("toxic")], names=["x", "y", "toxic"])
 
-    got = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measured, "x double, y double, toxic int").groupBy("x", "y", "toxic").count().collect()
-    x = np.array([(r.x, r.y) for r in got for _ in range(r["count"])])
-    y = np.array([float(r.toxic > 0) for r in got for _ in range(r["count"])])
-    lexicon.weights = _logistic(x, y)
+    got = rows.mapInArrow(measured, "x double, y double, toxic int").collect()
+    lexicon.weights = _logistic(np.array([(r.x, r.y) for r in got]), np.array([float(r.toxic > 0) for r in got]))
     return lexicon
 
 
-def hash_text(text: str) -> int:
+def sketch(words: set[str]) -> int:
+    """One number for the three smallest hashes of the words."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42) - (1 << 63)
+    return sum(sorted(xxhash.xxh64_intdigest(w.encode()) for w in words)[:3]) % (1 << 63)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
