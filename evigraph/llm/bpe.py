@@ -1,22 +1,40 @@
 """Byte-level BPE by corpus-level merge replay.
 
 Each task gathers the words (matches of the split pattern) that it hasn't encoded yet, lays their
-bytes out in one chain, and replays the merges over all of them at once: an inverted index leads
-from a rank to the positions of its pair, the lowest rank comes first, and a merge looks only at the
-two pairs it makes. Words are remembered, up to a bound, so frequent ones are encoded once a worker.
+bytes out in one chain and replays the merges over all of them at once. The index holds, for every
+position in every word, the rank of the pair that begins there. A merge can only touch its own word,
+so in one step every word applies the first merge in rank order that it has, at all its places, and
+only the pairs that this touches are looked up again. Words are remembered, up to a bound.
 """
 
 from __future__ import annotations
 
 import base64
-from heapq import heapify, heappop, heappush
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+#: Words whose ids a Python worker remembers, and documents that are encoded together.
+REMEMBERED, TOGETHER = 600_000, 1500
+_NONE = np.int64(1) << 40  # the rank of a pair that is no merge
+
+
+#: Texts of these characters are split by the standard library's faster engine.
+_LATIN = re.compile("[\\t-\\r\\x20-\u024f]*")
+
+
+def _latin(pattern: str):
+    """The split pattern for such texts, letters and numbers written out; None if it uses other classes."""
+    chars = [chr(c) for c in (*range(9, 14), *range(32, 0x250))]
+    named = {rf"\p{{{k}}}": re.escape("".join(c for c in chars if unicodedata.category(c)[0] == k)) for k in "LN"}
+    parts = re.split(r"(\[[^\]]*\])", pattern)
+    for name, own in named.items():
+        parts = [p.replace(name, own if p.startswith("[") else f"[{own}]") for p in parts]
+    out = "".join(parts)
+    return None if "\\p" in out or "\\P" in out else re.compile(out).findall
 
 
 class MergeReplay:
@@ -25,77 +43,84 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.bytes_of = {r: b for b, r in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}  # left << 32 | right -> rank of the joined bytes, -1 if none
+        self.ranks, self.slow, self.fast = ranks, regex.compile(pattern).findall, _latin(pattern)
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for b, r in ranks.items():
+            self.bytes_of[r] = b
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for whole, r in ranks.items():
+            for i in range(1, len(whole)):
+                if (x := ranks.get(whole[:i])) is not None and (y := ranks.get(whole[i:])) is not None:
+                    pairs[x << 32 | y] = r
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.known: dict[str, bytes] = {}
 
-    def _rank(self, left: int, right: int) -> int:
+    def split(self, text: str) -> list[str]:
+        return self.fast(text) if self.fast and _LATIN.fullmatch(text) else self.slow(text)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
-        r = self.pairs.get(key)
-        if r is None:
-            if len(self.pairs) > 4_000_000:
-                self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-        return r
+        if not len(self.keys):
+            return np.full(len(key), _NONE)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], _NONE)
 
     def learn(self, words: list[str]) -> None:
         """Encode words and remember them."""
-        whole, rank, known, single = self.ranks.get, self._rank, self.known, self.single
-        token: list[int] = []
-        left: list[int] = []
-        right: list[int] = []
-        starts: list[tuple[str, int]] = []
-        index: dict[int, list[int]] = {}
+        rest, raw = [], []
         for word in words:
-            raw = word.encode()
-            r = whole(raw)
-            if r is not None:
-                known[word] = r.to_bytes(4, "little")
+            data = word.encode()
+            if (r := self.ranks.get(data)) is not None:
+                self.known[word] = r.to_bytes(4, "little")
+            else:
+                rest.append(word)
+                raw.append(data)
+        if not rest:
+            return
+        sizes = np.array([len(x) for x in raw])
+        token = self.single[np.frombuffer(b"".join(raw), np.uint8)]
+        word = np.repeat(np.arange(len(rest)), sizes)
+        # rank[i]: of the pair that begins at i; a word's last position has none
+        rank = np.full(len(token), _NONE)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self._rank(token[inner], token[inner + 1])
+        # the index: words in which no pair is left to merge leave it
+        done_word, done_token = [], []
+        while len(token):
+            least = np.minimum.reduceat(rank, starts := np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
+            live = np.repeat(least < _NONE, np.diff(np.r_[starts, len(word)]))
+            if not live.all():
+                done_word.append(word[~live])
+                done_token.append(token[~live])
+                token, word, rank = token[live], word[live], rank[live]
                 continue
-            first = len(token)
-            starts.append((word, first))
-            ids = [single[b] for b in raw]
-            token += ids
-            end = len(token)
-            left += range(first - 1, end - 1)
-            right += range(first + 1, end + 1)
-            left[first], right[end - 1] = -1, -1
-            for i in range(first, end - 1):
-                if (r := rank(token[i], token[i + 1])) >= 0:
-                    index.setdefault(r, []).append(i)
-        queue = list(index)
-        heapify(queue)
-        while queue:
-            r = heappop(queue)
-            # positions that earlier merges added come after the first ones: the leftmost has to be first
-            for i in sorted(index.pop(r, ())):
-                j = right[i]
-                if token[i] < 0 or j < 0 or rank(token[i], token[j]) != r:
-                    continue
-                token[i], token[j] = r, -1
-                k = right[i] = right[j]
-                if k >= 0:
-                    left[k] = i
-                    if (n := rank(r, token[k])) >= 0:
-                        if n in index:
-                            index[n].append(i)
-                        else:
-                            index[n] = [i]
-                            heappush(queue, n)
-                if (h := left[i]) >= 0 and (n := rank(token[h], r)) >= 0:
-                    if n in index:
-                        index[n].append(h)
-                    else:
-                        index[n] = [h]
-                        heappush(queue, n)
-        for word, i in starts:
-            out = []
-            while i >= 0:
-                out.append(token[i])
-                i = right[i]
-            known[word] = np.array(out, dtype="<u4").tobytes()
+            first = rank == np.repeat(least, np.diff(np.r_[starts, len(word)]))
+            i = np.flatnonzero(first)
+            run = np.flatnonzero(np.r_[True, i[1:] != i[:-1] + 1])  # overlapping places: every other one, from the left
+            i = i[(np.arange(len(i)) - np.repeat(run, np.diff(np.r_[run, len(i)]))) % 2 == 0]
+            token[i] = rank[i]
+            keep = np.ones(len(token), bool)
+            keep[i + 1] = False
+            place = np.cumsum(keep) - 1
+            token, word, rank = token[keep], word[keep], rank[keep]
+            i = place[i]
+            hit = np.zeros(len(token) + 1, bool)
+            hit[i] = hit[i - 1] = True  # a place -1 is the spare last one
+            touched = np.flatnonzero(hit[:-1])
+            last = (touched + 1 >= len(word)) | (word[np.minimum(touched + 1, len(word) - 1)] != word[touched])
+            rank[touched[last]] = _NONE
+            t = touched[~last]
+            rank[t] = self._rank(token[t], token[t + 1])
+        word, token = np.concatenate(done_word), np.concatenate(done_token)
+        order = np.argsort(word, kind="stable")
+        data = token[order].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(word, minlength=len(rest)))).tolist()
+        at = 0
+        for w, end in zip(rest, ends):
+            self.known[w] = data[at:end]
+            at = end
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -129,8 +154,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         replay = merge_replay(path, pattern)
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
+            for s in range(0, b.num_rows, TOGETHER):
+                part = b.slice(s, TOGETHER)
                 ids = replay.encode_all([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -144,8 +169,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         replay = merge_replay(path, pattern)
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
+            for s in range(0, b.num_rows, TOGETHER):
+                part = b.slice(s, TOGETHER)
                 out = [None if x is None else replay.decode(x) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
