@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Tokens packed together in one task.
 BUFFER = 1 << 24
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 250_000
 
 
 class WordTokenizer:
