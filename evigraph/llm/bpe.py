@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Words whose ids a Python worker remembers, and documents that are encoded together.
-REMEMBERED, TOGETHER = 600_000, 1500
+REMEMBERED, TOGETHER = 250_000, 600
 _NONE = np.int64(1) << 40  # the rank of a pair that is no merge
 
 
