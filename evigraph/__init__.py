@@ -1,0 +1 @@
+"""Evidence-centric entity analytics on Spark."""

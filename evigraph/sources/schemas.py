@@ -1,0 +1,23 @@
+"""Schemas of the stored and in-flight tables."""
+
+from __future__ import annotations
+
+EVIDENCE = "array<struct<evidence_type: string, quote: string, value: string, evidence_date: date>>"
+RELATIONS = "array<struct<company_name: string, relation_type: string, evidence_quote: string, confidence: int, company_region_type: string>>"
+
+RAW_RESULT = "query string, provider string, provider_ord int, seq bigint, title string, url string, snippet string, providers array<string>"
+PAGE = "url string, title string, content string, published_at timestamp, content_hash string, fetched_at timestamp, discovery_providers array<string>"
+COMPANY_CANDIDATE = (
+    "original_name string, canonical_name string, chinese_name string, english_name string, ai_translated_name string, country string, "
+    "region_type string, official_website string, unified_social_credit_code string, registration_date date, robot_categories array<string>, "
+    "representative_products array<string>, business_summary string, discovery_signal string, addition_type_hint string, "
+    "classification_evidence string, evidence_date date, robot_relevance int, has_robot_product boolean, has_commercial_progress boolean, "
+    f"is_priority_category boolean, field_evidence {EVIDENCE}, source_url string"
+)
+PRODUCT_CANDIDATE = (
+    "original_name string, canonical_name string, english_name string, model_number string, series_name string, robot_category string, "
+    "launch_date date, launch_status string, product_description string, product_relevance int, novelty_claimed boolean, "
+    f"field_evidence {EVIDENCE}, company_relations {RELATIONS}, source_url string"
+)
+BASELINE = "name string, credit_code string, aliases array<string>, website string, evidence_text string"
+REGISTRY_CANDIDATE = "key_no string, name string, credit_code string, start_date string, operator_name string, status string, registration_number string, address string"
