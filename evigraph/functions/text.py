@@ -111,8 +111,8 @@ def inventory_key(c, unicode: bool = True):
 
 
 def evidence_key(c, unicode: bool = False):
-    """Evidence text without white space and punctuation."""
-    return F.regexp_replace(casefold(compat(F.coalesce(c, F.lit("")), unicode)), r"(?U)[\s\p{Punct}]+", "")
+    """Evidence text without white space, dashes, commas, stops, colons and brackets."""
+    return F.regexp_replace(casefold(compat(F.coalesce(c, F.lit("")), unicode)), r"(?U)[\s\-_/—–·,，。:：;；()（）\[\]【】]+", "")
 
 
 def credit_code(c):

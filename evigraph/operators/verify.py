@@ -62,6 +62,6 @@ def failure_pauses(results: DataFrame, key: str, order: str, code: str, bad: int
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy(order)
-    ok = results.withColumn("_other", F.sum(F.when(F.col(code) == bad, 0).otherwise(1)).over(w))
-    nth = F.row_number().over(Window.partitionBy(key, "_other").orderBy(order)) - F.when(F.first("_bad").over(Window.partitionBy(key, "_other").orderBy(order)), 0).otherwise(1)
-    return ok.withColumn("_bad", F.col(code) == bad).withColumn("_nth", nth).where(F.col("_bad") & (F.col("_nth") % run == 0)).drop("_other", "_bad", "_nth")
+    isles = results.withColumn("_bad", F.col(code) == bad).withColumn("_isle", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(w))
+    nth = F.row_number().over(Window.partitionBy(key, "_isle", "_bad").orderBy(order))
+    return isles.withColumn("_nth", nth).where(F.col("_bad") & (F.col("_nth") % run == 0)).drop("_bad", "_isle", "_nth")
