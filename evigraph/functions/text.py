@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Suffixes of the baseline normalizer, in the order in which they are taken off.
 BASELINE_SUFFIXES = (
@@ -22,7 +23,7 @@ LEGAL_SUFFIXES = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC, which Spark has no function for."""
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
