@@ -8,7 +8,9 @@ polynomial hashes for their common extension, and neighbours' extensions are che
 In the sorted order, the windows that begin ``o`` bytes before their anchor are equal if they lie in
 one run of extensions of ``width - o`` or more and their ``o`` bytes on the left are equal as well.
 
-Texts that are equal as a whole are taken once up to the last step.
+Texts that are equal as a whole are taken once up to the last step. Anchors of one text whose
+windows have the same bytes (as in periodic text) are found where they lie: their windows repeat, and
+one of them stands for all when texts are compared.
 """
 
 from __future__ import annotations
@@ -74,7 +76,8 @@ def _window_least(keys: np.ndarray, m: int) -> np.ndarray:
 
 
 def _anchors(texts: list[bytes], width: int, gram: int):
-    """(text number, gram hash, position, least and most offset of its windows) over texts hashed together."""
+    """Anchors, as (text number, gram hash, place): the place packs the position and the least and most offset of its
+    windows. Then spans that repeat within a text, as (text number, some number, place): minus 1 minus the packed ends."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < width:
         return None
@@ -93,9 +96,27 @@ def _anchors(texts: list[bytes], width: int, gram: int):
         return None
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     last = np.r_[new[1:] - 1, len(s) - 1]
-    doc, pos = doc[new], at[new]
+    doc, pos, low, high = doc[new], at[new], at[new] - s[last], at[new] - s[new]
     begin = np.r_[0, ends][doc]
-    return doc, h[pos].view(np.int64), pos - begin, pos - s[last], pos - s[new]
+    # anchors of one text with the same bytes around
+    start, stop = pos - high, pos + width - low
+    key = mixed(prefix.of(start, stop) ^ mixed(doc.astype(_U) << _U(32) | low.astype(_U) << _U(16) | high.astype(_U)))
+    by = np.argsort(key, kind="stable")
+    first = np.r_[True, key[by][1:] != key[by][:-1]]
+    lead = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+    same = (lead != by) & (doc[lead] == doc[by]) & (low[lead] == low[by]) & (high[lead] == high[by])
+    same[same] = _same_bytes(data, start[lead[same]], start[by[same]], (stop - start)[by[same]])
+    keep = np.ones(len(by), bool)
+    keep[by[same]] = False
+    local = np.zeros(len(by), bool)
+    local[by[same]] = local[lead[same]] = True
+    spans = np.flatnonzero(local)
+    edge = np.flatnonzero(np.r_[True, (doc[spans][1:] != doc[spans][:-1]) | (start[spans][1:] > stop[spans][:-1])]) if len(spans) else spans
+    till = np.maximum.reduceat(stop[spans], edge) if len(spans) else spans
+    h = h[pos].view(np.int64)
+    anchors = doc[keep], h[keep], (pos - begin)[keep] << 32 | low[keep] << 16 | high[keep]
+    at = spans[edge]
+    return anchors, (doc[at], h[at] + at, -((start - begin)[at] << 32 | till - begin[at]) - 1)
 
 
 def _find(width: int, gram: int):
@@ -111,9 +132,9 @@ def _find(width: int, gram: int):
                     size += len(part[-1])
                     i += 1
                 if (got := _anchors(part, width, gram)) is not None:
-                    doc, h, pos, low, high = got
+                    doc, h, place = (np.concatenate(x) for x in zip(*got))
                     own = np.array(rid[first:i], np.int64)[doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own), pa.array(pos << 32 | low << 16 | high)], names=["h", "rid", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own), pa.array(place)], names=["h", "rid", "place"])
 
     return run
 
@@ -126,6 +147,12 @@ def _contexts(width: int):
                 for rid, text, found in zip(*(b.column(n).slice(k, 200).to_pylist() for n in ("rid", "text", "found"))):
                     data = text.encode()
                     for a in found:
+                        if a["place"] < 0:
+                            h.append(a["h"])
+                            rids.append(rid)
+                            places.append(a["place"])
+                            out.append(None)
+                            continue
                         p, low, high = a["place"] >> 32, a["place"] >> 16 & 0xFFFF, a["place"] & 0xFFFF
                         h.append(a["h"])
                         rids.append(rid)
@@ -250,6 +277,13 @@ def _repeated_by_bytes(group, texts, low, high, order, width):
 
 def _sorted_spans(width: int):
     def spans(h, rid, place, texts):
+        ready = place < 0
+        if ready.any():
+            ends, own = -(place[ready] + 1), rid[ready]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ends >> 32), pa.array(ends & 0xFFFFFFFF)], names=["rid", "start", "stop"])
+            h, rid, place, texts = h[~ready], rid[~ready], place[~ready], [t for t in texts if t is not None]
+        if not len(h):
+            return
         _, g = np.unique(h, return_inverse=True)
         low, high = place >> 16 & 0xFFFF, place & 0xFFFF
         e, o = repeated_windows(g, low, high, texts, width)
@@ -258,7 +292,7 @@ def _sorted_spans(width: int):
         e, start = e[key], start[key]
         new = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (start[1:] > start[:-1] + width)]) if len(e) else np.empty(0, np.int64)
         last = np.r_[new[1:] - 1, len(e) - 1] if len(e) else new
-        return pa.RecordBatch.from_arrays([pa.array(rid[e[new]]), pa.array(start[new]), pa.array(start[last] + width)], names=["rid", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid[e[new]]), pa.array(start[new]), pa.array(start[last] + width)], names=["rid", "start", "stop"])
 
     def run(batches):
         held = None
@@ -270,11 +304,11 @@ def _sorted_spans(width: int):
             if len(h) >= ANCHORS and len(cut):
                 cut = int(cut[-1]) + 1
                 for lo, hi in _chunks(h[:cut]):
-                    yield spans(*(x[lo:hi] for x in held))
+                    yield from spans(*(x[lo:hi] for x in held))
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
             for lo, hi in _chunks(held[0]):
-                yield spans(*(x[lo:hi] for x in held))
+                yield from spans(*(x[lo:hi] for x in held))
 
     return run
 
@@ -300,12 +334,14 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """``(rid, text)``, one row for each different text; rid is made of a SHA-256, so equal ids mean equal texts."""
-    return docs.select(text_key().alias("rid"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["rid"])
+    """``(rid, text)``, one row for each different text; rid is 64 bits of a SHA-256."""
+    rows = docs.select(text_key().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
+    # the filter is what every join below asks for: with it here, all uses share one shuffle of the texts
+    return rows.where("rid is not null").dropDuplicates(["rid"])
 
 
 def text_key():
-    return F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16), 16, -10).cast("long")
 
 
 def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 48) -> DataFrame:
@@ -321,8 +357,8 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 48) -> DataFra
     copies = docs.select(text_key().alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
     found = texts.where(F.octet_length("text") >= width).mapInArrow(_find(width, gram), "h long, rid long, place long")
     x = F.xxhash64("rid", "place")
-    twice = found.groupBy("h").agg(F.min(x).alias("a"), F.max(x).alias("b")).where("a <> b").select("h")
-    held = found.join(twice, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "place")).alias("found"))
+    twice = found.where("place >= 0").groupBy("h").agg(F.min(x).alias("a"), F.max(x).alias("b")).where("a <> b").select("h", F.lit(True).alias("twice"))
+    held = found.join(twice, "h", "left").where("twice or place < 0").groupBy("rid").agg(F.collect_list(F.struct("h", "place")).alias("found"))
     near = texts.join(held, "rid").mapInArrow(_contexts(width), "h long, rid long, place long, bytes binary")
     spans = near.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_spans(width), "rid long, start long, stop long")
     by_text = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
