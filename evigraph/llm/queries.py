@@ -68,7 +68,48 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_fingerprints, op4_url_filter, op5_suffix_dedup, op6_chat_format, op7_packing, op8_bpe, op9_line_dedup, op10_search)}
 
+_RULES = sorted(urltree.RULES, key=lambda r: -len(r[1] + r[2]))
+_FITS = "(host = '{1}' OR ends_with(host, '.{1}')) AND starts_with(path, '{2}')"
+
 ORACLE_SQL = {
+    "op4_url_filter": f"""
+WITH own AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM pages
+), ruled AS (
+  SELECT *, CASE {" ".join(f"WHEN {_FITS.format(*r)} THEN '{r[1]}{r[2]}'" for r in _RULES)} END AS rule,
+    CASE {" ".join(f"WHEN {_FITS.format(*r)} THEN '{r[0]}'" for r in _RULES)} END AS said FROM own
+), paths AS (
+  SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM ruled
+), shaped AS (
+  SELECT *, list_transform(CASE WHEN len(parts) > {urltree.DEPTH} THEN list_concat(parts[1:{urltree.DEPTH}], ['**']) ELSE parts END,
+    lambda s: regexp_replace(CASE WHEN regexp_matches(s, '[0-9]') THEN regexp_replace(s, '[0-9a-fA-F]{{12,}}', '<hex>', 'g') ELSE s END, '[0-9]+', '<n>', 'g')) AS t FROM paths
+), tree AS (
+  SELECT host, t AS was, count(*) AS n, count(said) AS l, count(*) FILTER (said = 'block') AS b FROM shaped GROUP BY host, t
+), steps AS (
+  SELECT host, was, n, i AS d, was[i] AS seg, was[1:i - 1] AS above FROM tree, unnest(generate_series(1, len(was))) AS u(i)
+), wide AS (
+  SELECT host, d, above FROM steps GROUP BY host, d, above HAVING count(DISTINCT seg) >= 20 AND 2 * count(DISTINCT seg) >= sum(n)
+), hit AS (
+  SELECT host, was, list(d) AS ds FROM steps JOIN wide USING (host, d, above) GROUP BY host, was
+), general AS (
+  SELECT tree.*, list_transform(was, lambda s, i: CASE WHEN list_contains(coalesce(ds, []), i) THEN '*' ELSE s END) AS t FROM tree LEFT JOIN hit USING (host, was)
+), branches AS (
+  SELECT host, t, sum(l) AS l, sum(b) AS b FROM general GROUP BY host, t HAVING sum(l) >= 5
+), siblings AS (
+  SELECT host, t, l, b, i AS d, list_transform(t, lambda s, j: CASE WHEN j = i THEN '*' ELSE s END) AS rest FROM branches, unnest(generate_series(1, len(t))) AS u(i)
+), pools AS (
+  SELECT host, d, rest, (sum(b) + 0.5) / (sum(l) + 1) AS p FROM siblings GROUP BY host, d, rest HAVING count(*) > 1
+), alike AS (
+  SELECT host, t, list(d) AS ds FROM siblings JOIN pools USING (host, d, rest) WHERE abs(b - l * p) <= 1.96 * sqrt(l * p * (1 - p)) GROUP BY host, t
+), merged AS (
+  SELECT host, was, l, b, list_transform(general.t, lambda s, i: CASE WHEN list_contains(coalesce(ds, []), i) THEN '*' ELSE s END) AS t FROM general LEFT JOIN alike USING (host, t)
+), judged AS (
+  SELECT host, t, CASE WHEN (sum(b) + 0.4) / (sum(l) + 2) >= 0.5 THEN 'block' ELSE 'allow' END AS template_verdict FROM merged GROUP BY host, t
+)
+SELECT page_id, s.host, s.path, s.rule, coalesce(s.said, j.template_verdict) AS verdict
+FROM shaped s JOIN merged m ON m.host = s.host AND m.was = s.t JOIN judged j ON j.host = m.host AND j.t = m.t
+""",
     "op6_chat_format": r"""
 WITH c AS (
   SELECT conv_id, turn, role, text FROM conversations

@@ -1,7 +1,7 @@
 """URL filters by a path-template tree for each host, in DataFrame functions only.
 
 1. Rules of (host suffix, path prefix) decide first; what they say of a url is also a label.
-2. Each path segment becomes a shape (digits and long hex runs are wildcards). Where a place of the
+2. Each path segment becomes a shape (digits, and long hex runs where there is a digit, are wildcards). Where a place of the
    tree, a host and the shapes above, has many different segments that hardly repeat, the segment
    becomes ``*``.
 3. Sibling branches with the same remainder are merged into ``*`` where both have labels and their
@@ -52,7 +52,8 @@ def shapes(path):
     """Segments of a path as shapes; a final slash is a last, empty segment."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
     parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
-    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, "(?i)(?=[0-9a-f]*[0-9])[0-9a-f]{12,}", "<hex>"), "[0-9]+", "<n>"))
+    plain = lambda s: F.when(s.rlike("[0-9]"), F.regexp_replace(s, "[0-9a-fA-F]{12,}", "<hex>")).otherwise(s)
+    return F.transform(parts, lambda s: F.regexp_replace(plain(s), "[0-9]+", "<n>"))
 
 
 def filter_urls(
@@ -95,7 +96,7 @@ def filter_urls(
 def _generalised(tree: DataFrame, many: int) -> DataFrame:
     """Variable places become wildcards: a place is a host, a depth and the shapes above."""
     steps = tree.select("host", "was", "n", F.posexplode("t").alias("d", "seg")).withColumn("above", F.expr("slice(was, 1, d)"))
-    places = steps.groupBy("host", "d", "above").agg(F.approx_count_distinct("seg", 0.02).alias("k"), F.sum("n").alias("n"))
+    places = steps.groupBy("host", "d", "above").agg(F.count_distinct("seg").alias("k"), F.sum("n").alias("n"))
     wide = places.where((F.col("k") >= many) & (2 * F.col("k") >= F.col("n"))).select("host", "d", "above")
     hit = steps.join(wide, ["host", "d", "above"]).groupBy("host", "was").agg(F.collect_set("d").alias("ds"))
     ds = F.coalesce("ds", F.array().cast("array<int>"))
