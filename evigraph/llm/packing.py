@@ -7,6 +7,7 @@ Tokens are made and packed where the documents lie: nothing is shuffled, and a t
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +17,17 @@ from pyspark.sql import functions as F
 #: Tokens packed together in one task.
 BUFFER = 1 << 24
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 class WordTokenizer:
     """Ids of a text by a file of the tokenizers library, as little-endian unsigned 32-bit integers.
 
     The vocabulary drops blanks and never joins across one, so each blank-free stretch is encoded
-    once and remembered. It lowers case too and never joins letters and signs, so a stretch of Latin
-    letters, or one followed by a single full stop or comma, is put together from its lower-case
-    letters and the sign. New stretches are encoded many at once, apart by a special token.
+    once and remembered. It lowers case too, and joins neither letters and signs nor a sign that
+    stands alone with anything; so a Latin text without two signs in a row is cut at its stops and
+    commas as well, and its words of letters go straight to the library's merge model. Other texts'
+    stretches are encoded by the whole library, many at once, apart by a special token.
     """
 
     def __init__(self, path: str, apart: str = "<|startoftext|>"):
@@ -33,49 +35,61 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.apart = Tokenizer.from_file(path), apart
-        self.apart_id = self.tokenizer.token_to_id(apart)
-        self.clear()
+        self.model, self.apart_id = self.tokenizer.model, self.tokenizer.token_to_id(apart)
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}  # of plain texts, in lower case
+        self.parts: dict[str, bytes] = {}  # of others
 
-    def clear(self) -> None:
-        self.known = {"": b""}
-        self.sign = {"": b""} | {c: self._one(c) for c in ".,"}
-
-    def _one(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        known, made, plain = self.known, [], set()
+    def _learn_words(self, new: list[str]) -> None:
+        tokenize, letters = self.model.tokenize, self.letters
         for w in new:
-            tail = w[-1] if w[-1] in self.sign else ""
-            base = w[: len(w) - len(tail)]
-            if base.isalpha() and max(base) < "\u0250" and "\u0130" not in base:
-                made.append((w, base := base.lower(), tail))
-                if base not in known:
-                    plain.add(base)
-            elif self.apart[:2] in w:
-                known[w] = self._one(w)
+            if w.isalpha():
+                inner = w if w.isascii() else w.encode().decode("latin-1").translate(letters)
+                self.words[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(inner)])
             else:
-                plain.add(w)
-        words = list(plain)
-        parts = [words[k : k + 500] for k in range(0, len(words), 500)]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast([self.apart.join(p) for p in parts], add_special_tokens=False)):
+                self.words[w] = self._whole(w)
+
+    def _learn_parts(self, new: list[str]) -> None:
+        alone = [w for w in new if self.apart[:2] in w]
+        for w in alone:
+            self.parts[w] = self._whole(w)
+        words = [w for w in new if self.apart[:2] not in w]
+        groups = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([self.apart.join(p) for p in groups], add_special_tokens=False)):
             ids = np.array(got.ids, dtype="<u4")
             data, at = ids.tobytes(), 0
-            for word, cut in zip(part, [*np.flatnonzero(ids == self.apart_id).tolist(), len(ids)]):
-                known[word] = data[4 * at : 4 * cut]
+            for word, cut in zip(group, [*np.flatnonzero(ids == self.apart_id).tolist(), len(ids)]):
+                self.parts[word] = data[4 * at : 4 * cut]
                 at = cut + 1
-        for w, base, tail in made:
-            known[w] = known[base] + self.sign[tail]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        if len(new) + len(self.known) > REMEMBERED:
-            self.clear()
-            new = list(set().union(*split) - {""})
-        self._learn(new)
-        at = self.known.__getitem__
-        return [b"".join(map(at, words)) for words in split]
+        plain = [bool(_PLAIN.fullmatch(t)) and not _SIGNS.search(t) for t in texts]
+        split = [t.lower().replace(",", " , ").replace(".", " . ").split() if p else _BLANKS.split(t) for t, p in zip(texts, plain)]
+        for known, learn, kind, most in ((self.words, self._learn_words, True, REMEMBERED), (self.parts, self._learn_parts, False, REMEMBERED // 4)):
+            used = set().union(*(s for s, p in zip(split, plain) if p is kind))
+            new = used - known.keys()
+            if len(new) + len(known) > most:
+                known.clear()
+                new = used
+            learn(list(new))
+        words, parts = self.words.__getitem__, self.parts.__getitem__
+        return [b"".join(map(words if p else parts, s)) for s, p in zip(split, plain)]
+
+
+#: Plain texts: characters up to the Latin extensions, without the capital i with a dot, whose lower case is two.
+_PLAIN = re.compile("[\\t-\\r\\x20-\u012f\u0131-\u024f]*")
+_SIGNS = re.compile(r"(?:[^\w\s]|_){2}")
+_BLANKS = re.compile(r"[ \n\t]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
