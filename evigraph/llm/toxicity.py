@@ -1,6 +1,6 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
-The lexicon and the two-feature calibration are fitted on a bounded sample of labelled rows
+The lexicon and the three-feature calibration are fitted on a bounded sample of labelled rows
 (``MAX_ROWS``); scoring is one pass over whole texts with the automaton in every task.
 """
 
@@ -57,7 +57,7 @@ class Lexicon:
 
     terms: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    weights: tuple[float, ...] = (-4.0, 1.0, 1.0)
+    weights: tuple[float, ...] = (-5.0, -8.0, 5.0, 0.5)
     _automaton: object = field(default=None, repr=False, compare=False)
 
     def automaton(self):
@@ -96,14 +96,14 @@ class Lexicon:
                 out.append(x)
         return [x for x in out if x[2]]
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Log of the matched weight, and of the weight per thousand words."""
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Whether anything matches, the log of the matched weight, and of the weight per thousand words (short texts count as longer)."""
         folded = fold(text)
         total = sum(m[2] for m in self.matches(folded))
         if not total:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         words = folded.count(" ") + folded.count("\n") + 1
-        return float(np.log1p(total)), float(np.log1p(1000 * total / words))
+        return 1.0, float(np.log1p(total)), float(np.log1p(1000 * total / (words + 200)))
 
     def score(self, text: str | None) -> float:
         x = self.features(text)
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions
     """Learn a lexicon of words and stems from labelled documents of the training fold.
 
     Of the labelled ids, the ``max_rows`` with the smallest hash are used; that bounds what is
-    broadcast, aggregated and sent back (counts of MAX_TERMS candidates, and three numbers a row).
+    broadcast, aggregated and sent back (counts of MAX_TERMS candidates, and four numbers a row).
     Of rows with the same sketch (the three smallest word hashes), which copies and most near copies
     have, one is counted. A candidate needs 3 % of the positive rows, and five, and a lower 99 % bound
     of its log odds ratio over log 3. Candidates are taken by their z score, longer ones first among
@@ -201,10 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions
     def measured(batches):
         for b in batches:
             x = [lexicon.features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), b.column("toxic")], names=["x", "y", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in (zip(*x) if x else [()] * 3)), b.column("toxic")], names=["x", "y", "z", "toxic"])
 
-    got = rows.mapInArrow(measured, "x double, y double, toxic int").collect()
-    lexicon.weights = _logistic(np.array([(r.x, r.y) for r in got]), np.array([float(r.toxic > 0) for r in got]))
+    got = rows.mapInArrow(measured, "x double, y double, z double, toxic int").collect()
+    lexicon.weights = _logistic(np.array([(r.x, r.y, r.z) for r in got]), np.array([float(r.toxic > 0) for r in got]))
     return lexicon
 
 
