@@ -19,7 +19,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of like lines one stays; documents stay, with the lines that are left."""
-    return _with_texts(docs, linededup.dedup_lines(docs).select("doc_id", "text"))
+    return _documents(linededup.dedup_lines(docs, columns=("lang", "source")))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 that occur twice go; a character of which a byte went goes as a whole."""
-    kept = suffixdedup.remove_repeats(docs, text=True)
-    return _with_texts(docs, kept.select("doc_id", F.expr("try_validate_utf8(cast(kept as string))").alias("valid"), F.expr("make_valid_utf8(cast(kept as string))").alias("made"))
-                       .select("doc_id", F.coalesce("valid", F.replace("made", F.lit("�"), F.lit(""))).alias("text")))
+    kept = suffixdedup.remove_repeats(docs, text=True, columns=("lang", "source"))
+    text = F.expr("cast(kept as string)")
+    return _documents(kept.withColumn("text", F.coalesce(F.try_validate_utf8(text), F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _with_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The other columns of ``docs`` with new texts; ids are unique in the pipeline's tables."""
-    return docs.select("doc_id", "lang", "source").join(texts, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+def _documents(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 STAGES = [

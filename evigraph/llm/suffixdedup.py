@@ -387,13 +387,14 @@ def _remove(width: int, text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 48, text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 48, text: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256), and the bytes ``kept`` if asked for.
 
     Matches never cross texts; bytes are judged on the input. Null and empty texts have no bytes.
     Rows that repeat are copies of each other, so all their bytes go if there are ``width`` of them;
-    null ids are carried; other columns aren't read; no rows give none.
+    null ids are carried; other columns aren't read, but for ``columns``, which are carried along; no
+    rows give none.
     """
     kind = "rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
     done = repeated_spans(docs, width, gram).mapInArrow(_remove(width, text), kind)
-    return docs.select("doc_id", text_key().alias("rid")).join(done, "rid").drop("rid")
+    return docs.select("doc_id", *columns, text_key().alias("rid")).join(done, "rid").drop("rid")
