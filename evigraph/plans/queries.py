@@ -496,3 +496,62 @@ def t05_failure_runs(spark, sf_dir):
     """Every third failure of an unbroken run pauses."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "click", 502).otherwise(200).alias("code"))
     return verify.failure_pauses(e, "user_id", "event_id", "code").select("user_id", "event_id")
+
+
+@query(None)
+def e03_company_matches(spark, sf_dir):
+    """Every supplier's name, with its last digit cut off, matched against all suppliers. Tested on fixtures."""
+    from ..operators.matching import match_companies
+
+    s = table(spark, sf_dir, "supplier")
+    asked = s.select(F.col("s_suppkey").alias("q_id"), F.expr("left(s_name, length(s_name) - 1)").alias("q_name"))
+    return match_companies(asked, s.select(F.col("s_suppkey").alias("r_id"), F.col("s_name").alias("r_name")))
+
+
+@query(None)
+def e06_product_groups(spark, sf_dir):
+    """Greedy first-fit groups of all products. Tested on fixtures."""
+    from ..operators.matching import grouped_products
+
+    i = text.product_identity(F.col("p_name"), F.concat(F.col("p_brand"), F.col("p_size").cast("string")), unicode=False)
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("seq"), i.alias("i"))
+    return grouped_products(p.select("id", "seq", "i.normalized_name", "i.model_key"))
+
+
+@query(None)
+def x15_page_text(spark, sf_dir):
+    """Title, text, hash and date of every page of a hundred characters or more. Tested on fixtures."""
+    from ..functions.html import pages_from_html
+
+    return pages_from_html(table(spark, sf_dir, "pages").select("url", "html"))
+
+
+@query("""
+WITH s AS (SELECT c_custkey, c_acctbal > 0 AS website, (c_acctbal / 100)::INT AS relevance, c_mktsegment = 'MACHINERY' AS product, c_custkey % 3 = 0 AS commercial, c_nationkey < 5 AS trusted, c_nationkey AS sources, c_mktsegment = 'BUILDING' AS category FROM customer)
+SELECT c_custkey, least(100, CASE WHEN website THEN 15 ELSE 0 END + CASE WHEN relevance >= 85 THEN 20 WHEN relevance >= 70 THEN 10 ELSE 0 END + CASE WHEN product THEN 20 ELSE 0 END + CASE WHEN commercial THEN 15 ELSE 0 END + CASE WHEN trusted THEN 10 ELSE 0 END + CASE WHEN sources >= 2 THEN 10 ELSE 0 END + CASE WHEN category THEN 10 ELSE 0 END)::INTEGER AS priority,
+ CASE WHEN website THEN 'website +15' ELSE 'website +0' END || '; ' || CASE WHEN product THEN 'product +20' ELSE 'product +0' END || '; total ' || (CASE WHEN website THEN 15 ELSE 0 END + CASE WHEN product THEN 20 ELSE 0 END) AS explanation FROM s
+""")
+def r05_priority(spark, sf_dir):
+    """The additive priority, and the text that explains a score."""
+    from ..operators.planning import score_explanation
+
+    c = table(spark, sf_dir, "customer").withColumn("website", F.col("c_acctbal") > 0).withColumn("product", F.col("c_mktsegment") == "MACHINERY")
+    score = scoring.priority(F.col("website"), F.bround(F.col("c_acctbal") / 100).cast("int"), F.col("product"), F.col("c_custkey") % 3 == 0, F.col("c_nationkey") < 5, F.col("c_nationkey"), F.col("c_mktsegment") == "BUILDING")
+    return c.select("c_custkey", score.alias("priority"), score_explanation([("website", 15, "website"), ("product", 20, "product")]).alias("explanation"))
+
+
+@query("""
+WITH g AS (SELECT c_custkey AS id, c_name AS name, unnest(['trusted', 'date', 'code']) AS gap FROM customer WHERE c_acctbal < 0),
+q AS (SELECT id, gap, CASE gap WHEN 'trusted' THEN 1 WHEN 'date' THEN 2 ELSE 3 END AS priority, name || ' ' || gap AS query FROM g),
+f AS (SELECT * FROM q WHERE NOT (gap = 'trusted' AND id % 2 = 0))
+SELECT id, query, priority, gap FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority, query) <= 2
+""")
+def c08_follow_ups(spark, sf_dir):
+    """At most two new follow-up queries for each company with gaps."""
+    from ..operators.planning import follow_ups
+
+    c = table(spark, sf_dir, "customer").where("c_acctbal < 0")
+    gaps = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.explode(F.array(F.lit("trusted"), F.lit("date"), F.lit("code"))).alias("gap"))
+    templates = spark.createDataFrame([("trusted", 1, "{name} trusted"), ("date", 2, "{name} date"), ("code", 3, "{name} code")], "gap string, priority int, template string")
+    seen = c.where("c_custkey % 2 = 0").select(F.concat("c_name", F.lit(" trusted")).alias("query"))
+    return follow_ups(gaps, templates, seen)
