@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from evigraph.llm import bm25, bpe, chat, linededup, minhash, packing, simhash, suffixdedup, toxicity, urltree
 from evigraph.llm.components import connected_components
@@ -363,6 +364,18 @@ def test_line_dedup(spark, texts):
     assert linededup.dedup_lines(make(spark, AWKWARD)).count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_line_dedup_in_a_bucket_of_many_clusters(spark, monkeypatch, block):
+    monkeypatch.setattr(linededup, "BLOCK", block, raising=False)
+    monkeypatch.setattr(linededup, "_keys", lambda lines: lines.select("lid", *(F.lit(1).alias(f"k{b}") for b in range(linededup.BANDS))))
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    own = [" ".join(word() for _ in range(6)) for _ in range(40)]
+    rows = [(i, line + end) for i, (line, end) in enumerate((line, end) for line in own for end in "xy")]
+    got = linededup.dedup_lines(make(spark, rows)).where("n_kept = 1").collect()
+    assert {r.doc_id for r in got} == set(range(0, 80, 2))
+
+
 def test_search(spark, texts):
     rows = texts + [(7000, None), (7001, ""), (7002, texts[0][1]), (7002, texts[0][1])]
     got = defaultdict(list)
