@@ -376,6 +376,16 @@ def test_line_dedup_in_a_bucket_of_many_clusters(spark, monkeypatch, block):
     assert {r.doc_id for r in got} == set(range(0, 80, 2))
 
 
+def test_line_dedup_of_lines_with_few_starts(spark):
+    rng = random.Random(6)
+    signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    own = [signs(rng.randrange(18, 31)) for _ in range(50)] + [letters(12) + " " + letters(8) for _ in range(50)]
+    rows = [(i, first + line) for i, (line, first) in enumerate((line, first) for line in own for first in "xy")]
+    got = linededup.dedup_lines(make(spark, rows)).where("n_kept = 1").collect()
+    assert {r.doc_id for r in got} == set(range(0, 200, 2))
+
+
 def test_search(spark, texts):
     rows = texts + [(7000, None), (7001, ""), (7002, texts[0][1]), (7002, texts[0][1])]
     got = defaultdict(list)
