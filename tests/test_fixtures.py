@@ -1,5 +1,6 @@
 """Expected values of the domain rules."""
 
+import random
 from datetime import date
 
 import pytest
@@ -97,6 +98,35 @@ def test_grouping_is_first_fit(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2}
 
 
+def greedy(rows):
+    """Group of each product by comparing it with all members of all groups."""
+    groups, out = [], {}
+    for i, name, model in rows:
+        n, m = name or "", model or ""
+        same = lambda o: (not m or not o[1] or m == o[1]) if n == o[0] else bool(m) and m == o[1] and (n in o[0] or o[0] in n)  # noqa: E731,B023
+        home = next((g for g in groups if any(map(same, g[1]))), None)
+        if home is None:
+            groups.append(home := (i, []))
+        home[1].append((n, m))
+        out[i] = home[0]
+    return out
+
+
+def test_grouping_against_all_pairs(spark):
+    rng = random.Random(3)
+    names = ["a", "b", "ab", "abc", "bc", "cab", "abcab", "", None]
+    rows = [(i, rng.choice(names), rng.choice(["", "", "m1", "m2", "m3", None])) for i in range(60)] + [(100 + i, f"x{i % 20}", f"z{i % 13}") for i in range(80)]
+    df = spark.createDataFrame([(i, i, n, m) for i, n, m in rows], "id bigint, seq bigint, normalized_name string, model_key string")
+    assert {r.id: r.group_id for r in matching.grouped_products(df).collect()} == greedy(rows)
+
+
+def test_products_are_linked_by_identity_alone(spark):
+    rows = [(i, f"name{i % 7}", f"m{i % 11}") for i in range(77)] + [(100, "name0x", "m0"), (101, "name1", "")]
+    df = spark.createDataFrame(rows, "node bigint, name string, model string")
+    edges = {(r.a, r.b) for r in matching.identity_edges(df).collect()}
+    assert edges == {(0, 100)} | {(101, i) for i in range(77) if i % 7 == 1}
+
+
 def test_ratios():
     assert similarity.ratio("abcd", "abcd") == 100 and similarity.ratio("", "a") == 0
     assert round(similarity.ratio("this is a test", "this is a test!"), 2) == 96.55
