@@ -23,9 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(groups, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near duplicates stays: the one with the smallest id, then the first by its columns; null ids come last."""
+    return simhash.first_of_each(docs, COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

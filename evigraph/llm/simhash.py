@@ -58,16 +58,18 @@ def _bits(batches):
         )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp long)``. Null, empty and blank texts have the fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp long)``, and ``columns`` between. Null, empty and blank texts have the fingerprint 0."""
     words = F.filter(F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     # the words are referred to more than once below, so Spark makes them once for each row
-    hashed = docs.select(F.col(id_col).alias("doc_id"), words.alias("w")).select(
+    hashed = docs.select(F.col(id_col).alias("doc_id"), *columns, words.alias("w")).select(
         "doc_id",
+        *columns,
         F.when(F.size("w") == 0, F.array().cast("array<bigint>")).otherwise(shingle_hashes(F.col("w"))).alias("hashes"),
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    return hashed.mapInArrow(_bits, f"doc_id {kind}, fp bigint")
+    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    return hashed.mapInArrow(_bits, f"doc_id {kind}, {carried}fp bigint")
 
 
 def _popcounts(fp):
@@ -202,8 +204,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = written(fingerprints(docs, id_col, text_col), "simhash")
     by_fp = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    parts = connected_components(links(own, most)).withColumnsRenamed({"node": "fp"})
-    rooted = by_fp.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rooted = _rooted(by_fp, own, most)
     least = rooted.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "component").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, columns: tuple[str, ...], most: int = 3) -> DataFrame:
+    """One row of ``docs(doc_id, text, ...)`` of each group of near duplicates, with ``columns``, ``doc_id`` among them.
+
+    The least by id, null ids last, and then by the columns in order; rows are told apart by nothing else.
+    """
+    rows = written(fingerprints(docs, columns=tuple(c for c in columns if c != "doc_id")), "simhash")
+    rooted = _rooted(rows.select("fp").distinct(), rows.select("fp"), most)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", *(c for c in columns if c != "doc_id"))).alias("first")
+    # one row a fingerprint before the join, so a group of copies is never gathered
+    by_fp = rows.groupBy("fp").agg(first).join(rooted, "fp")
+    return by_fp.groupBy("component").agg(F.min("first").alias("first")).select(*(F.col("first")[c].alias(c) for c in columns))
+
+
+def _rooted(by_fp: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """Adds the ``component`` of a row's ``fp``; fingerprints without links are their own."""
+    parts = connected_components(links(own, most)).withColumnsRenamed({"node": "fp"})
+    return by_fp.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

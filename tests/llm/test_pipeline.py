@@ -25,5 +25,19 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in out["packing"][1].collect()} == set(kept)
 
 
+def test_null_and_repeated_ids(spark, sf):
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, word(1)), (None, word(2)), (None, word(3)), (5, word(3)), (6, word(4)), (6, word(4)), (7, word(5)), (7, word(6)), (8, word(5)), (8, word(7)), (1, word(7)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    count = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    want = [(None, None), (None, word(1)), (None, word(2)), (5, word(3)), (6, word(4)), (7, word(5)), (7, word(6)), (1, word(7))]
+    kept = corpus_pipeline.simhash_dedup(spark, docs, sf)
+    assert count(kept) == sorted(want, key=str) and kept.columns == list(corpus_pipeline.COLUMNS)
+    for stage in (corpus_pipeline.toxicity_filter, corpus_pipeline.line_dedup, corpus_pipeline.suffix_dedup):
+        assert sorted((r.doc_id for r in stage(spark, docs, sf).collect()), key=str) == sorted((i for i, _ in rows), key=str)
+    packed = {r.doc_id for r in corpus_pipeline.pack(spark, docs, sf).collect()}
+    assert packed == {i for i, _ in rows}
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
