@@ -7,6 +7,8 @@ meet, their suffixes are merge-sorted; two suffixes are compared by a binary sea
 polynomial hashes for their common extension, and neighbours' extensions are checked byte by byte.
 In the sorted order, the windows that begin ``o`` bytes before their anchor are equal if they lie in
 one run of extensions of ``width - o`` or more and their ``o`` bytes on the left are equal as well.
+Anchors of a gram that more than ``HOT`` texts' places share aren't sorted together: their windows are
+told apart one by one by a 128-bit hash, which is aggregated before it moves, so no task gets them all.
 
 Texts that are equal as a whole are taken once up to the last step. Anchors of one text whose
 windows have the same bytes (as in periodic text) are found where they lie: their windows repeat, and
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import mixed
+from .util import written
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
-#: Bytes hashed at once in a task, and anchors sorted at once (a group of one gram is never cut).
-CHUNK, ANCHORS = 1 << 20, 1 << 14
+#: Bytes hashed at once in a task, anchors sorted at once, and anchors of one gram that are sorted together.
+CHUNK, ANCHORS, HOT = 1 << 20, 1 << 12, 1 << 12
 _POWERS: list[np.ndarray] = []
 
 
@@ -85,7 +88,7 @@ def _anchors(texts: list[bytes], width: int, gram: int):
     prefix = PrefixHash(data)
     p = np.arange(len(data) - gram + 1)
     h = mixed(prefix.of(p, p + gram))
-    bits = _U(max(1, int(len(data)).bit_length()))
+    bits = _U(32)  # the same for every chunk: which gram is an anchor depends on its window alone
     least = _window_least((h >> bits << bits) | p.astype(_U), width - gram + 1)
     at = (least & ((_U(1) << bits) - _U(1))).astype(np.int64)
     s = np.arange(len(at))
@@ -133,8 +136,8 @@ def _find(width: int, gram: int):
                     i += 1
                 if (got := _anchors(part, width, gram)) is not None:
                     doc, h, place = (np.concatenate(x) for x in zip(*got))
-                    own = np.array(rid[first:i], np.int64)[doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own), pa.array(place)], names=["h", "rid", "place"])
+                    own = pa.array(rid[first:i], pa.binary()).take(pa.array(doc))
+                    yield pa.RecordBatch.from_arrays([pa.array(h), own, pa.array(place)], names=["h", "rid", "place"])
 
     return run
 
@@ -158,7 +161,28 @@ def _contexts(width: int):
                         rids.append(rid)
                         places.append(a["place"])
                         out.append(data[p - high : p + width - low])
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(rids, pa.int64()), pa.array(places, pa.int64()), pa.array(out, pa.binary())], names=["h", "rid", "place", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(rids, pa.binary()), pa.array(places, pa.int64()), pa.array(out, pa.binary())], names=["h", "rid", "place", "bytes"])
+
+    return run
+
+
+def _windows(width: int):
+    """Each window of the anchors ``found``: its 128-bit hash, the text and the place."""
+    import xxhash
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 50):
+                rids, starts, out = [], [], []
+                for rid, text, found in zip(*(b.column(n).slice(k, 50).to_pylist() for n in ("rid", "text", "found"))):
+                    data = text.encode()
+                    for a in found:
+                        p, low, high = a["place"] >> 32, a["place"] >> 16 & 0xFFFF, a["place"] & 0xFFFF
+                        for start in range(p - high, p - low + 1):
+                            rids.append(rid)
+                            starts.append(start)
+                            out.append(xxhash.xxh3_128_digest(data[start : start + width]))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(rids, pa.binary()), pa.array(starts, pa.int64())], names=["w", "rid", "start"])
 
     return run
 
@@ -276,12 +300,13 @@ def _repeated_by_bytes(group, texts, low, high, order, width):
 
 
 def _sorted_spans(width: int):
-    def spans(h, rid, place, texts):
+    def spans(h, place, rid, texts):
+        rid = pa.array(rid, pa.binary())
         ready = place < 0
         if ready.any():
-            ends, own = -(place[ready] + 1), rid[ready]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ends >> 32), pa.array(ends & 0xFFFFFFFF)], names=["rid", "start", "stop"])
-            h, rid, place, texts = h[~ready], rid[~ready], place[~ready], [t for t in texts if t is not None]
+            ends = -(place[ready] + 1)
+            yield pa.RecordBatch.from_arrays([rid.filter(pa.array(ready)), pa.array(ends >> 32), pa.array(ends & 0xFFFFFFFF)], names=["rid", "start", "stop"])
+            h, rid, place, texts = h[~ready], rid.filter(pa.array(~ready)), place[~ready], [t for t in texts if t is not None]
         if not len(h):
             return
         _, g = np.unique(h, return_inverse=True)
@@ -292,23 +317,25 @@ def _sorted_spans(width: int):
         e, start = e[key], start[key]
         new = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (start[1:] > start[:-1] + width)]) if len(e) else np.empty(0, np.int64)
         last = np.r_[new[1:] - 1, len(e) - 1] if len(e) else new
-        yield pa.RecordBatch.from_arrays([pa.array(rid[e[new]]), pa.array(start[new]), pa.array(start[last] + width)], names=["rid", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([rid.take(pa.array(e[new])), pa.array(start[new]), pa.array(start[last] + width)], names=["rid", "start", "stop"])
 
     def run(batches):
-        held = None
+        held: list = [np.empty(0, np.int64), np.empty(0, np.int64), [], []]
         for b in batches:
-            own = [np.asarray(b.column(i)) for i in range(3)] + [b.column(3).to_pylist()]
-            held = own if held is None else [*(np.concatenate(x) for x in zip(held[:3], own[:3])), held[3] + own[3]]
-            h = held[0]
-            cut = np.flatnonzero(h[1:] != h[:-1])  # the last gram may go on in the next batch
-            if len(h) >= ANCHORS and len(cut):
-                cut = int(cut[-1]) + 1
-                for lo, hi in _chunks(h[:cut]):
-                    yield from spans(*(x[lo:hi] for x in held))
-                held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            for lo, hi in _chunks(held[0]):
-                yield from spans(*(x[lo:hi] for x in held))
+            for k in range(0, b.num_rows, ANCHORS):
+                part = b.slice(k, ANCHORS)
+                own = [np.asarray(part.column(0)), np.asarray(part.column(2)), part.column(1).to_pylist(), part.column(3).to_pylist()]
+                # a gram has HOT anchors at most, so what is held is bounded
+                held = [*(np.concatenate(x) for x in zip(held[:2], own[:2])), held[2] + own[2], held[3] + own[3]]
+                h = held[0]
+                cut = np.flatnonzero(h[1:] != h[:-1])  # the last gram may go on in the next batch
+                if len(h) >= ANCHORS and len(cut):
+                    cut = int(cut[-1]) + 1
+                    for lo, hi in _chunks(h[:cut]):
+                        yield from spans(*(x[lo:hi] for x in held))
+                    held = [x[cut:] for x in held]
+        for lo, hi in _chunks(held[0]):
+            yield from spans(*(x[lo:hi] for x in held))
 
     return run
 
@@ -334,35 +361,42 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """``(rid, text)``, one row for each different text; rid is 64 bits of a SHA-256."""
+    """``(rid, text, copies)``, one row for each different text with the number of its rows; rid is its SHA-256."""
     rows = docs.select(text_key().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
     # the filter is what every join below asks for: with it here, all uses share one shuffle of the texts
-    return rows.where("rid is not null").dropDuplicates(["rid"])
+    return rows.where("rid is not null").groupBy("rid").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
 def text_key():
-    return F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16), 16, -10).cast("long")
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 48) -> DataFrame:
-    """``docs(text)`` -> (rid, text, spans array<struct<start, stop>>, copies) for each different text.
+def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 96) -> DataFrame:
+    """``docs(text)`` -> (rid, text, copies, spans array<struct<start, stop>>) for each different text.
 
     The spans cover the bytes of every ``width``-byte string that starts at any other place too, in
     this text or another; they may touch or overlap. ``copies``: rows with this text; where there
-    are more than one, all of a text of ``width`` or more bytes is repeated.
+    are more than one, all of a text of ``width`` or more bytes is repeated. Whatever ``gram`` is, the
+    result is the same; a longer one makes more anchors, of which fewer are shared.
     """
     if not 0 < gram < width < 1 << 15:
         raise ValueError("need 0 < gram < width < 32768")
     texts = distinct_texts(docs)
-    copies = docs.select(text_key().alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
-    found = texts.where(F.octet_length("text") >= width).mapInArrow(_find(width, gram), "h long, rid long, place long")
+    found = texts.where(F.octet_length("text") >= width).mapInArrow(_find(width, gram), "h long, rid binary, place long")
     x = F.xxhash64("rid", "place")
-    twice = found.where("place >= 0").groupBy("h").agg(F.min(x).alias("a"), F.max(x).alias("b")).where("a <> b").select("h", F.lit(True).alias("twice"))
-    held = found.join(twice, "h", "left").where("twice or place < 0").groupBy("rid").agg(F.collect_list(F.struct("h", "place")).alias("found"))
-    near = texts.join(held, "rid").mapInArrow(_contexts(width), "h long, rid long, place long, bytes binary")
-    spans = near.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_spans(width), "rid long, start long, stop long")
+    twice = found.where("place >= 0").groupBy("h").agg(F.min(x).alias("a"), F.max(x).alias("b"), F.count(F.lit(1)).alias("n"))
+    twice = twice.where("a <> b").select("h", (F.col("n") > HOT).alias("hot"))
+    held = found.join(twice, "h", "left").where("hot is not null or place < 0").select("rid", F.coalesce("hot", F.lit(False)).alias("hot"), F.struct("h", "place").alias("f"))
+    held = written(held.groupBy("rid").agg(F.collect_list(F.when(~F.col("hot"), F.col("f"))).alias("found"), F.collect_list(F.when(F.col("hot"), F.col("f"))).alias("often")), "anchors")
+    near = texts.join(held.where("size(found) > 0").select("rid", "found"), "rid").mapInArrow(_contexts(width), "h long, rid binary, place long, bytes binary")
+    spans = near.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_spans(width), "rid binary, start long, stop long")
+    often = held.where("size(often) > 0").select("rid", F.col("often").alias("found"))
+    windows = texts.join(often, "rid").mapInArrow(_windows(width), "w binary, rid binary, start long")
+    x = F.xxhash64("rid", "start")
+    again = windows.groupBy("w").agg(F.min(x).alias("a"), F.max(x).alias("b")).where("a <> b").select("w")
+    spans = spans.unionByName(windows.join(again, "w").select("rid", "start", (F.col("start") + width).alias("stop")))
     by_text = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return texts.join(copies, "rid").join(by_text, "rid", "left")
+    return texts.join(by_text, "rid", "left")
 
 
 def _remove(width: int, text: bool):
@@ -381,13 +415,13 @@ def _remove(width: int, text: bool):
                         at = z
                     rest = b"".join([*kept, data[at:]])
                     out.append((rid, len(data), len(data) - len(rest), len(cut), hashlib.sha256(rest).hexdigest(), rest)[: len(fields)])
-                types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+                types = [pa.binary()] + [pa.int64()] * 3 + [pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=fields)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 48, text: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 96, text: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256), and the bytes ``kept`` if asked for.
 
     Matches never cross texts; bytes are judged on the input. Null and empty texts have no bytes.
@@ -395,6 +429,6 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 48, text: bool
     null ids are carried; other columns aren't read, but for ``columns``, which are carried along; no
     rows give none.
     """
-    kind = "rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
+    kind = "rid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
     done = repeated_spans(docs, width, gram).mapInArrow(_remove(width, text), kind)
     return docs.select("doc_id", *columns, text_key().alias("rid")).join(done, "rid").drop("rid")
