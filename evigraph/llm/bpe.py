@@ -1,24 +1,26 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Each task gathers the words (matches of the split pattern) that it hasn't encoded yet, lays their
-bytes out in one chain and replays the merges over all of them at once. The index holds, for every
-position in every word, the rank of the pair that begins there. A merge can only touch its own word,
-so in one step every word applies the first merge in rank order that it has, at all its places, and
-only the pairs that this touches are looked up again. Words are remembered, up to a bound.
+Each task gathers the different words (matches of the split pattern) of some megabytes of its
+documents that it hasn't encoded yet and lays their bytes out in one chain of linked tokens. An
+inverted index leads from each token pair that is a merge to its positions in all words. Merges
+are applied in rank order, each at all its positions at once; then only the pairs on both sides of
+a merged one are looked up and put into the index. Words are remembered, up to a bound.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Words whose ids a Python worker remembers, and documents that are encoded together.
-REMEMBERED, TOGETHER = 250_000, 600
+#: Words whose ids a Python worker remembers, and bytes of documents that are encoded together.
+REMEMBERED, TOGETHER = 250_000, 8 << 20
 _NONE = np.int64(1) << 40  # the rank of a pair that is no merge
 
 
@@ -55,6 +57,8 @@ class MergeReplay:
                     pairs[x << 32 | y] = r
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        # a merge that can only come after those that make its parts may be applied at all its places at once
+        self.ordered = all(r > (k >> 32) and r > (k & 0xFFFFFFFF) for k, r in pairs.items())
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -80,45 +84,60 @@ class MergeReplay:
         if not rest:
             return
         sizes = np.array([len(x) for x in raw])
-        token = self.single[np.frombuffer(b"".join(raw), np.uint8)]
+        n, ends = int(sizes.sum()), np.cumsum(sizes)
         word = np.repeat(np.arange(len(rest)), sizes)
-        # rank[i]: of the pair that begins at i; a word's last position has none
-        rank = np.full(len(token), _NONE)
-        inner = np.flatnonzero(word[1:] == word[:-1])
-        rank[inner] = self._rank(token[inner], token[inner + 1])
-        # the index: words in which no pair is left to merge leave it
-        done_word, done_token = [], []
-        while len(token):
-            least = np.minimum.reduceat(rank, starts := np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
-            live = np.repeat(least < _NONE, np.diff(np.r_[starts, len(word)]))
-            if not live.all():
-                done_word.append(word[~live])
-                done_token.append(token[~live])
-                token, word, rank = token[live], word[live], rank[live]
+        # the place n stands beyond both ends of every word
+        token = np.r_[self.single[np.frombuffer(b"".join(raw), np.uint8)], -1]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = before[ends - sizes] = after[n] = n
+        alive = np.ones(n + 1, bool)
+        rank = np.full(n + 1, _NONE)  # of the pair that begins at a place
+        index: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def look_up(places):
+            ranks = self._rank(token[places], token[after[places]])
+            ranks[after[places] == n] = _NONE
+            rank[places] = ranks
+            live = ranks < _NONE
+            places, ranks = places[live], ranks[live]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1], True]) if len(ranks) else ()
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                r = int(ranks[lo])
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(waiting, r)
+                index[r].append(places[lo:hi])
+
+        look_up(np.arange(n))
+        while waiting:
+            r = heapq.heappop(waiting)
+            at = np.concatenate(index.pop(r))
+            at = np.unique(at[rank[at] == r])  # places that a merge has taken since are left out
+            if not len(at):
                 continue
-            first = rank == np.repeat(least, np.diff(np.r_[starts, len(word)]))
-            i = np.flatnonzero(first)
-            run = np.flatnonzero(np.r_[True, i[1:] != i[:-1] + 1])  # overlapping places: every other one, from the left
-            i = i[(np.arange(len(i)) - np.repeat(run, np.diff(np.r_[run, len(i)]))) % 2 == 0]
-            token[i] = rank[i]
-            keep = np.ones(len(token), bool)
-            keep[i + 1] = False
-            place = np.cumsum(keep) - 1
-            token, word, rank = token[keep], word[keep], rank[keep]
-            i = place[i]
-            hit = np.zeros(len(token) + 1, bool)
-            hit[i] = hit[i - 1] = True  # a place -1 is the spare last one
-            touched = np.flatnonzero(hit[:-1])
-            last = (touched + 1 >= len(word)) | (word[np.minimum(touched + 1, len(word) - 1)] != word[touched])
-            rank[touched[last]] = _NONE
-            t = touched[~last]
-            rank[t] = self._rank(token[t], token[t + 1])
-        word, token = np.concatenate(done_word), np.concatenate(done_token)
-        order = np.argsort(word, kind="stable")
-        data = token[order].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(np.bincount(word, minlength=len(rest)))).tolist()
+            if self.ordered:
+                # overlapping places, as of a pair of equal tokens: every other one, from the left
+                run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            else:
+                first = np.r_[True, word[at[1:]] != word[at[:-1]]]
+                if not first.all():
+                    index[r] = [at[~first]]
+                    heapq.heappush(waiting, r)
+                at = at[first]
+            gone = after[at]
+            token[at], alive[gone], rank[gone] = r, False, _NONE
+            after[at] = after[gone]
+            before[after[at]] = at
+            left = before[at]
+            look_up(np.unique(np.r_[at, left[left < n]]))
+        left = np.flatnonzero(alive[:n])
+        data = token[left].astype("<u4").tobytes()
         at = 0
-        for w, end in zip(rest, ends):
+        for w, end in zip(rest, (4 * np.cumsum(np.bincount(word[left], minlength=len(rest)))).tolist()):
             self.known[w] = data[at:end]
             at = end
 
@@ -147,6 +166,16 @@ def merge_replay(path: str, pattern: str) -> MergeReplay:
     return _REPLAYS[path, pattern]
 
 
+def _parts(batch: pa.RecordBatch, column: str):
+    """Slices of some TOGETHER bytes of a column."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TOGETHER, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, ids binary: little-endian unsigned 32-bit). A null text is empty;
     rows that repeat and null ids are carried; other columns aren't read; no rows give none."""
@@ -154,8 +183,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         replay = merge_replay(path, pattern)
         for b in batches:
-            for s in range(0, b.num_rows, TOGETHER):
-                part = b.slice(s, TOGETHER)
+            for part in _parts(b, "text"):
                 ids = replay.encode_all([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -169,8 +197,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         replay = merge_replay(path, pattern)
         for b in batches:
-            for s in range(0, b.num_rows, TOGETHER):
-                part = b.slice(s, TOGETHER)
+            for part in _parts(b, "ids"):
                 out = [None if x is None else replay.decode(x) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
