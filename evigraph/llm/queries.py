@@ -13,7 +13,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, lexicon).select(
-        "doc_id", (~toxicity.training_fold(F.col("doc_id"))).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted")
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted")
     )
 
 
@@ -36,7 +36,9 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], turns.schema)
+    kind = {f.name: f.dataType for f in turns.schema}
+    own = [F.struct(*(F.lit(v).cast(kind[c]).alias(c) for c, v in (("conv_id", -7), ("turn", t), ("role", r), ("text", says)))) for t, r in enumerate(("user", "assistant"))]
+    extra = spark.range(1).select(F.explode(F.array(*own)).alias("t")).select("t.*")
     return chat.digests(chat.format_prefix_target(turns.unionByName(extra)))
 
 
@@ -82,8 +84,7 @@ WITH own AS (
 ), paths AS (
   SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM ruled
 ), shaped AS (
-  SELECT *, list_transform(CASE WHEN len(parts) > {urltree.DEPTH} THEN list_concat(parts[1:{urltree.DEPTH}], ['**']) ELSE parts END,
-    lambda s: regexp_replace(CASE WHEN regexp_matches(s, '[0-9]') THEN regexp_replace(s, '[0-9a-fA-F]{{12,}}', '<hex>', 'g') ELSE s END, '[0-9]+', '<n>', 'g')) AS t FROM paths
+  SELECT *, list_transform(parts, lambda s: regexp_replace(CASE WHEN regexp_matches(s, '[0-9]') THEN regexp_replace(s, '[0-9a-fA-F]{{12,}}', '<hex>', 'g') ELSE s END, '[0-9]+', '<n>', 'g')) AS t FROM paths
 ), tree AS (
   SELECT host, t AS was, count(*) AS n, count(said) AS l, count(*) FILTER (said = 'block') AS b FROM shaped GROUP BY host, t
 ), steps AS (

@@ -20,8 +20,6 @@ from .util import written
 
 #: Labelled rows that are fitted on at most (those with the smallest hash of the id).
 MAX_ROWS = 20_000
-#: Terms of the lexicon at most.
-MAX_TERMS = 2_000
 #: Phrases in which a listed word isn't meant as an insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof", "idiot-proof", "pond scum", "soap scum", "sore loser rule")
 
@@ -51,6 +49,11 @@ def training_fold(id_col):
     return F.crc32(id_col.cast("string")) % 3 != 1
 
 
+def held_out(id_col):
+    """True where that remainder is 1; a null id has none, so it isn't held out."""
+    return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
+
+
 @dataclass
 class Lexicon:
     """Folded terms with weights, folded exception phrases, and the calibration (bias and a weight per feature)."""
@@ -129,15 +132,14 @@ def _candidates(words: set[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in range(4, min(len(w), 9))}
 
 
-def _fit_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn a lexicon of words and stems from labelled documents of the training fold.
 
-    Of the labelled ids, the ``max_rows`` with the smallest hash are used; that bounds what is
-    broadcast, aggregated and sent back (counts of MAX_TERMS candidates, and four numbers a row).
+    Of the labelled ids, the ``max_rows`` with the smallest hash are used, one row each (of rows that
+    repeat an id the first by text); their texts are written once. That bounds what is aggregated and
+    sent back: four numbers a row, and the candidates, which can't be more than 33 times the candidates
+    of a mean positive row. Words of one or two letters, which folded numbers look like, and of 40 or
+    more, which are encoded data, are no candidates.
     Of rows with the same sketch (the three smallest word hashes), which copies and most near copies
     have, one is counted. A candidate needs 3 % of the positive rows, and five, and a lower 99 % bound
     of its log odds ratio over log 3. Candidates are taken by their z score, longer ones first among
@@ -155,8 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions
             s = [sketch(set(_WORD.findall(fold(t)))) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("toxic"), pa.array(s, pa.int64())], names=["doc_id", "toxic", "sketch"])
 
-    one = _fit_rows(docs, chosen).mapInArrow(sketches, "doc_id long, toxic int, sketch long").groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    one = written(one.select("doc_id", "toxic"), "labelled")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = written(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    one = texts.mapInArrow(sketches, "doc_id long, toxic int, sketch long").groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    rows = written(texts.join(F.broadcast(one.select("doc_id")), "doc_id", "left_semi").select("text", "toxic"), "labelled")
 
     def counts(batches):
         for b in batches:
@@ -174,13 +178,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions
                     by.update(listed.value & _candidates({w for w in _WORD.findall(fold(text)) if 2 < len(w) < 40}))
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array(list(by.values()), pa.int64())], names=["term", "b"])
 
-    n = {r.toxic: r["count"] for r in one.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
+    n = {r.toxic: r["count"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     pos, neg = n.get(True, 0), n.get(False, 0)
     if not pos:
         return Lexicon({}, exceptions)
-    rows, spark = _fit_rows(docs, one).select("text", "toxic"), docs.sparkSession
+    spark = docs.sparkSession
     often = rows.where("toxic > 0").mapInArrow(counts, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"))
-    often = often.where(F.col("a") >= max(5, round(0.03 * pos))).orderBy(F.desc("a"), "term").limit(50 * MAX_TERMS)
+    often = often.where(F.col("a") >= max(5, round(0.03 * pos)))
     a = {r.term: r.a for r in often.collect()}
     listed = spark.sparkContext.broadcast(set(a))
     b = {r.term: r.b for r in rows.mapInArrow(rest, "term string, b long").groupBy("term").agg(F.sum("b").alias("b")).collect()}
@@ -194,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions
     terms: dict[str, float] = {}
     for *_, term, odds in sorted(scored):
         stem = term.rstrip("*")
-        if len(terms) < MAX_TERMS and not any(stem.startswith(t.rstrip("*")) or t.startswith(stem) for t in terms):
+        if not any(stem.startswith(t.rstrip("*")) or t.startswith(stem) for t in terms):
             terms[term] = odds
     lexicon = Lexicon(terms, exceptions)
 

@@ -27,8 +27,6 @@ RULES: tuple[Rule, ...] = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Segments below this depth are one wildcard.
-DEPTH = 12
 
 
 def parsed(url):
@@ -51,7 +49,6 @@ def ruled(host, path, rules: tuple[Rule, ...]):
 def shapes(path):
     """Segments of a path as shapes; a final slash is a last, empty segment."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
     plain = lambda s: F.when(s.rlike("[0-9]"), F.regexp_replace(s, "[0-9a-fA-F]{12,}", "<hex>")).otherwise(s)
     return F.transform(parts, lambda s: F.regexp_replace(plain(s), "[0-9]+", "<n>"))
 
