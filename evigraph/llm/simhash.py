@@ -2,7 +2,8 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits. Its embedding is the vector of the
 segments' bit counts; the Manhattan distance of two embeddings never exceeds the Hamming distance of
-the fingerprints. The embedding's 32 axes are dealt to six sub-grids. A pair at Manhattan distance 3
+the fingerprints. The embedding's 32 axes are dealt to six sub-grids of five or six axes. A range join of
+cells of width one under the Manhattan bound then needs no neighbouring cells: a pair at Manhattan distance 3
 or less differs in at most three sub-grids, so it shares its cell in at least three of the six:
 each choice of three sub-grids is one grid, and every linked pair meets in a cell of one of the
 twenty. Within a cell, the Manhattan bound is applied first and the Hamming distance decides.
@@ -166,12 +167,11 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     if not 0 <= most < GROUPS:
         raise ValueError("most must be below the number of sub-grids")
     counts = _popcounts(F.col("fp"))
-    per = -(-32 // GROUPS)
     grids = []
     for chosen in combinations(range(GROUPS), GROUPS - most):
         mask = 0
         for g in chosen:
-            for axis in range(g * per, min(32, g * per + per)):
+            for axis in range(g * 32 // GROUPS, (g + 1) * 32 // GROUPS):
                 mask |= 3 << (2 * axis)
         mask -= (mask >= 1 << 63) << 64
         grids.append(F.xxhash64(F.lit(len(grids)), F.col("c").bitwiseAND(F.lit(mask).cast("bigint"))))
