@@ -61,15 +61,24 @@ def parsed_page(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([page_text(h) for h in html], columns=["title", "content"])
 
 
+def _attribute(tag, name: str):
+    """The value of a tag's attribute, in quotes of either kind or none; empty if it isn't there."""
+    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
+
+
 def published_at(html):
-    """The first date of: article:published_time, a pubdate meta, a date meta, a time element. Without a zone it is UTC."""
-    patterns = (
-        r'(?is)<meta[^>]+property=["\']article:published_time["\'][^>]+content=["\']([^"\']+)',
-        r'(?is)<meta[^>]+name=["\']pubdate["\'][^>]+content=["\']([^"\']+)',
-        r'(?is)<meta[^>]+name=["\']date["\'][^>]+content=["\']([^"\']+)',
-        r'(?is)<time[^>]+datetime=["\']([^"\']+)',
+    """The first date that can be read of: an article:published_time meta, a publishdate meta, a date meta, a time element with a
+    datetime. Of each kind the first tag counts, its attributes in any order. Without a zone it is UTC (the session's zone)."""
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    meta = lambda key, value: F.filter(tags("meta"), lambda t: _attribute(t, key) == value)
+    found = (
+        _attribute(F.get(meta("property", "article:published_time"), F.lit(0)), "content"),
+        _attribute(F.get(meta("name", "publishdate"), F.lit(0)), "content"),
+        _attribute(F.get(meta("name", "date"), F.lit(0)), "content"),
+        _attribute(F.get(F.filter(tags("time"), lambda t: F.lower(t).rlike(r"""[\s"']datetime\s*=""")), F.lit(0)), "datetime"),
     )
-    return F.coalesce(*(F.try_to_timestamp(F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit(""))) for p in patterns))
+    return F.coalesce(*(F.try_to_timestamp(F.nullif(F.trim(f), F.lit(""))) for f in found))
 
 
 def pages_from_html(df, least: int = 100):

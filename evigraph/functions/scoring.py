@@ -41,10 +41,11 @@ def verification_status(score, eligible, verify: int = 80, review: int = 60):
 
 
 def coerced_score(c):
-    """A label or a number as a score of 0 to 100; null if it is neither."""
-    label = F.lower(F.trim(c))
+    """A label or a number, halves rounded to even, as a score of 0 to 100; anything else, null too, is 0."""
+    label = F.lower(F.trim(F.coalesce(c, F.lit(""))))
     named = F.when(label == "high", 90).when(label == "medium", 70).when(label == "low", 40).when(label == "direct", 85).when(label == "indirect", 50)
-    return F.coalesce(named, F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.try_to_number(label, F.lit("999999.99")).cast("double")).cast("int"))))
+    number = F.when(label.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?$"), label.try_cast("double"))
+    return F.coalesce(named, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(F.coalesce(number, F.lit(0.0))))).cast("int"))
 
 
 def coverage(a, b):

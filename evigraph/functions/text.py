@@ -6,7 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Suffixes of the baseline normalizer, in the order in which they are taken off.
 BASELINE_SUFFIXES = (
@@ -21,6 +21,15 @@ LEGAL_SUFFIXES = (
     "集团股份有限责任公司", "集团股份有限公司", "股份有限责任公司", "特殊普通合伙企业", "有限合伙企业", "普通合伙企业",
     "有限责任公司", "股份有限公司", "集团有限公司", "股份公司", "有限合伙", "普通合伙", "有限公司", "集团公司", "公司",
 )
+# The endings that search words are made without, in the order in which they are tried.
+SEARCH_LEGAL = ("集团股份有限公司", "集团有限公司", "股份有限公司", "有限责任公司", "有限公司", "公司")
+SEARCH_BUSINESS = ("人工智能科技", "智能科技", "机器人科技", "网络科技", "信息科技", "科技")
+# Patterns of secret-looking values, final robot nouns, dashes of shown names, model tokens and what evidence is compared without.
+SECRET_VALUE = r"(?i)\b(api[-_ ]?key|secret|token|authorization|key)\b\s*[:=]\s*[^\s,;]+"
+ROBOT_NOUN = "(?:人形|工业|服务|特种)?机器人$"
+DASHES = r"(?U)\s*[-‐‑‒–—]\s*"
+MODEL_TOKEN = r"(?<![A-Za-z0-9])([A-Za-z]{0,8}\d[A-Za-z0-9.-]{0,15})(?![A-Za-z0-9])"
+EVIDENCE_MARKS = r"(?U)[\s\-_/—–·,，。:：;；()（）\[\]【】]+"
 
 
 @F.pandas_udf(StringType())
@@ -29,6 +38,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_all(s: pd.Series) -> pd.Series:
+    """NFKC of each text of an array."""
+    return s.map(lambda v: None if v is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in v])
+
+
 def casefold(c):
     """Lower case with ß as ss: equals casefold for all letters of the supported languages."""
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
@@ -78,18 +93,18 @@ def without_legal_suffix(key):
 
 def display_name(c, unicode: bool = True):
     """Shown product name: one blank for white space, dashes as ``-`` without blanks around."""
-    return F.regexp_replace(collapse(compat(F.coalesce(c, F.lit("")), unicode)), r"(?U)\s*[-‐‑‒–—]\s*", "-")
+    return F.regexp_replace(collapse(compat(F.coalesce(c, F.lit("")), unicode)), DASHES, "-")
 
 
 def product_key(c, unicode: bool = True):
     """Product key: final robot nouns go, then all but digits, a-z and CJK."""
     folded = strip(casefold(compat(F.coalesce(c, F.lit("")), unicode)))
-    return F.regexp_replace(F.regexp_replace(folded, "(?:人形|工业|服务|特种)?机器人$", ""), "[^0-9a-z一-鿿]+", "")
+    return F.regexp_replace(F.regexp_replace(folded, ROBOT_NOUN, ""), "[^0-9a-z一-鿿]+", "")
 
 
 def model_token(display):
     """The last token of a shown name that has a digit in it; empty if there is none."""
-    found = F.regexp_extract_all(display, F.lit(r"(?<![A-Za-z0-9])([A-Za-z]{0,8}\d[A-Za-z0-9.-]{0,15})(?![A-Za-z0-9])"), F.lit(1))
+    found = F.regexp_extract_all(display, F.lit(MODEL_TOKEN), F.lit(1))
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
 
 
@@ -113,7 +128,7 @@ def inventory_key(c, unicode: bool = True):
 
 def evidence_key(c, unicode: bool = False):
     """Evidence text without white space, dashes, commas, stops, colons and brackets."""
-    return F.regexp_replace(casefold(compat(F.coalesce(c, F.lit("")), unicode)), r"(?U)[\s\-_/—–·,，。:：;；()（）\[\]【】]+", "")
+    return F.regexp_replace(casefold(compat(F.coalesce(c, F.lit("")), unicode)), EVIDENCE_MARKS, "")
 
 
 def credit_code(c):
@@ -134,7 +149,7 @@ def aliases(c):
 
 
 def without_tags(c):
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""))
+    return collapse(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""))
 
 
 def truncated(c, most: int = 32_000, marker: str = "…"):
@@ -142,17 +157,27 @@ def truncated(c, most: int = 32_000, marker: str = "…"):
 
 
 def redacted(c, secrets: tuple[str, ...] = (), most: int = 500):
-    """Known secrets, then values of secret-looking keys, are starred; the rest is cut."""
-    out = F.coalesce(c, F.lit(""))
+    """Known secrets, then values of secret-looking keys, are starred in the text with white space collapsed; the rest is cut."""
+    out = collapse(F.coalesce(c, F.lit("")))
     for s in secrets:
         if s:
             out = F.replace(out, F.lit(s), F.lit("***"))
-    return F.substring(F.regexp_replace(out, r"(?i)\b(key|token|secret|secretkey|appkey)=[^&\s]+", "$1=***"), 1, most)
+    return F.substring(F.regexp_replace(out, SECRET_VALUE, "$1=***"), 1, most)
 
 
 def keyword_variants(c):
-    """Search words for a registry: the name, without its legal form, without business words; at most three of two characters or more."""
-    name = strip(F.coalesce(c, F.lit("")))
-    legal = F.regexp_replace(name, "(" + "|".join(LEGAL_SUFFIXES) + ")$", "")
-    business = F.regexp_replace(legal, "(人工智能|机器人|智能|科技|技术|信息|网络)+$", "")
+    """Search words for a registry: the name without white space, without its legal form, and without a business word too; each is
+    taken off once and leaves two characters or more."""
+    name = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
+    legal = _without_one(name, SEARCH_LEGAL)
+    business = _without_one(legal, SEARCH_BUSINESS)
     return F.slice(F.array_distinct(F.filter(F.array(name, legal, business), lambda w: F.length(w) >= 2)), 1, 3)
+
+
+def _without_one(c, suffixes: tuple[str, ...]):
+    """The text without the first of the suffixes that it ends with and that leaves two characters."""
+    out = None
+    for s in suffixes:
+        fits, rest = c.endswith(s) & (F.length(c) > len(s) + 1), F.left(c, F.length(c) - len(s))
+        out = F.when(fits, rest) if out is None else out.when(fits, rest)
+    return out.otherwise(c)

@@ -16,12 +16,27 @@ INDUSTRY_MARKERS = ("robot", "robotics", "techcrunch", "theverge", "36kr", "ofwe
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
+def _decoded(c):
+    """A query's key or value; a per cent sign that begins no code stays."""
+    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(c):
+    """The form in which letters, digits and ``_.-~`` stay and a blank is a plus."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url):
-    """One form for a page: scheme and host lower-cased, no tracking keys, fragment or final slashes. Without a host: the trimmed text."""
+    """One form for a page: scheme and host lower-cased, the query decoded and encoded again without tracking keys, no fragment or final
+    slashes. Without a host: the trimmed text."""
     u = strip(F.coalesce(url, F.lit("")))
     scheme, host, path, query = (F.regexp_extract(u, _PARTS, i) for i in range(1, 5))
-    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).startswith("utm_") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING_KEYS))
-    whole = F.transform(pairs, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))
+    pairs = F.transform(
+        F.filter(F.split(query, "&"), lambda p: p != ""),
+        lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(p.contains("="), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")).alias("v")),
+    )
+    pairs = F.filter(pairs, lambda p: ~F.lower(p["k"]).startswith("utm_") & ~F.lower(p["k"]).isin(*TRACKING_KEYS))
+    whole = F.transform(pairs, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"])))
     cut = F.regexp_replace(path, "/+$", "")
     shown = F.when(F.length(path) <= 1, F.lit("/")).otherwise(cut)
     tail = F.when(F.size(whole) > 0, F.concat(F.lit("?"), F.array_join(whole, "&"))).otherwise("")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, evidence_key
+from ..functions import text
+from ..functions.text import collapse
 
 # Relation types that identify a maker, event types, and the status each event supports with its rank.
 STRONG_RELATIONS = ("developer", "manufacturer", "brand_owner", "publisher", "joint_developer")
@@ -13,31 +14,43 @@ STATUS_OF = {"product_launch": "released", "official_show": "officially_shown",
 STATUS_RANK = {"unknown": 0, "rumor": 1, "planned": 2, "prototype": 3, "officially_shown": 4, "released": 5, "mass_production": 6, "delivered": 7}
 
 
+def _once(use, **values):
+    """``use`` of a struct of values that are made once, outside of ``use``: functions of arrays can't hold the normalization themselves."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use)[0]
+
+
+def _keys(texts):
+    """Evidence form of each text of an array, compatibility letters folded, as quotes and pages write widths as they like."""
+    return F.transform(text.nfkc_all(texts), lambda t: text.evidence_key(t))
+
+
+def _page(content):
+    return text.evidence_key(content, unicode=True)
+
+
 def quoted(evidence, content, exact: bool = False):
     """Evidence whose quote is in the page: in evidence form, or with white space collapsed if ``exact``."""
-    form = collapse if exact else evidence_key
-    page = form(content)
-    return F.filter(evidence, lambda e: (form(e["quote"]) != "") & F.contains(page, form(e["quote"])))
+    quotes = F.transform(evidence, lambda e: e["quote"])
+    keys, page = (F.transform(quotes, collapse), collapse(content)) if exact else (_keys(quotes), _page(content))
+    hits = lambda s: F.filter(F.zip_with(s["own"], s["keys"], lambda e, k: F.when((k != "") & F.contains(s["page"], k), e)), lambda e: e.isNotNull())
+    return _once(hits, own=evidence, keys=keys, page=page)
 
 
 def identifies(evidence, *names):
     """Whether a quote has one of the names or the model number in it."""
-    keys = F.filter(F.array(*(evidence_key(n) for n in names)), lambda k: k != "")
-    return F.exists(evidence, lambda e: F.exists(keys, lambda k: F.contains(evidence_key(e["quote"]), k)))
+    found = lambda s: F.exists(s["quotes"], lambda q: F.exists(s["names"], lambda k: (k != "") & F.contains(q, k)))
+    return _once(found, quotes=_keys(F.transform(evidence, lambda e: e["quote"])), names=_keys(F.array(*names)))
 
 
 def valid_relations(relations, content, *names):
-    """Mainland relations whose quote is in the page and names both the company and the product."""
-    page, keys = evidence_key(content), F.filter(F.array(*(evidence_key(n) for n in names)), lambda k: k != "")
+    """Mainland relations whose quote is in the page and names both the company, which must have a name, and the product."""
+    quotes, companies = _keys(F.transform(relations, lambda r: r["evidence_quote"])), _keys(F.transform(relations, lambda r: r["company_name"]))
 
-    def fits(r):
-        quote = evidence_key(r["evidence_quote"])
-        return (
-            (r["company_region_type"] == "mainland_china") & (quote != "") & F.contains(page, quote)
-            & F.contains(quote, evidence_key(r["company_name"])) & F.exists(keys, lambda k: F.contains(quote, k))
-        )
+    def fits(s):
+        named = F.zip_with(s["quotes"], s["companies"], lambda q, c: (q != "") & F.contains(s["page"], q) & (c != "") & F.contains(q, c) & F.exists(s["names"], lambda k: (k != "") & F.contains(q, k)))
+        return F.filter(F.zip_with(s["own"], named, lambda r, n: F.when(n & (r["company_region_type"] == "mainland_china"), r)), lambda r: r.isNotNull())
 
-    return F.filter(relations, fits)
+    return _once(fits, own=relations, quotes=quotes, companies=companies, page=_page(content), names=_keys(F.array(*names)))
 
 
 def has_strong_relation(relations):
@@ -58,9 +71,9 @@ def supported_status(evidence, claimed):
 
 def claim_fingerprint(evidence, content_hash):
     """SHA-256 of the sorted claims, or the page's hash if there are none."""
-    line = lambda e: F.concat_ws("|", F.coalesce(e["evidence_type"], F.lit("")), evidence_key(e["quote"]), F.coalesce(e["value"], F.lit("")), F.coalesce(e["evidence_date"].cast("string"), F.lit("")))
-    lines = F.array_sort(F.transform(evidence, line))
-    return F.when(F.size(evidence) > 0, F.sha2(F.array_join(lines, "\n"), 256)).otherwise(content_hash)
+    none = lambda c: F.coalesce(c, F.lit(""))
+    lines = F.zip_with(evidence, _keys(F.transform(evidence, lambda e: e["quote"])), lambda e, k: F.concat_ws("|", none(e["evidence_type"]), k, none(e["value"]), none(e["evidence_date"].cast("string"))))
+    return F.when(F.size(evidence) > 0, F.sha2(F.array_join(F.array_sort(lines), "\n"), 256)).otherwise(content_hash)
 
 
 def parsed_strings(c):

@@ -33,9 +33,12 @@ _PART = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?'"
 def sql_canonical(u: str) -> str:
     part = lambda i: f"regexp_extract({u}, {_PART}, {i})"
     keys = ", ".join(f"'{k}'" for k in urls.TRACKING_KEYS)
-    pairs = f"list_filter(string_split({part(4)}, '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ({keys}))"
+    read = lambda c: f"url_decode(replace({c}, '+', ' '))"
+    pairs = f"list_transform(list_filter(string_split({part(4)}, '&'), lambda p: p <> ''), lambda p: {{k: {read(chr(39).join(['split_part(p, ', '=', ', 1)']))}, v: {read('CASE WHEN contains(p, ' + chr(39) + '=' + chr(39) + ') THEN substring(p, instr(p, ' + chr(39) + '=' + chr(39) + ') + 1) ELSE ' + chr(39) * 2 + ' END')}}})"
+    kept = f"list_filter({pairs}, lambda p: NOT starts_with(lower(p.k), 'utm_') AND lower(p.k) NOT IN ({keys}))"
     path = f"CASE WHEN length({part(3)}) <= 1 THEN '/' ELSE regexp_replace({part(3)}, '/+$', '') END"
-    return f"(CASE WHEN {part(2)} = '' THEN {u} ELSE coalesce(nullif(lower({part(1)}), ''), 'https') || '://' || lower({part(2)}) || {path} || CASE WHEN len({pairs}) > 0 THEN '?' || array_to_string(list_transform({pairs}, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') ELSE '' END END)"
+    shown = f"array_to_string(list_transform({kept}, lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&')"
+    return f"(CASE WHEN {part(2)} = '' THEN {u} ELSE coalesce(nullif(lower({part(1)}), ''), 'https') || '://' || lower({part(2)}) || {path} || CASE WHEN len({kept}) > 0 THEN '?' || {shown} ELSE '' END END)"
 
 
 def sql_domain(u: str) -> str:
@@ -105,9 +108,17 @@ def x05_company_key(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.company_key(F.col("c_name")).alias("company_key"))
 
 
-@query("SELECT s_suppkey, regexp_replace(replace(lower(s_name), 'ß', 'ss'), '[^0-9a-z㐀-鿿]+', '', 'g') AS registry_key, '' AS legal_suffix FROM supplier")
+_FORMS = ("", "有限公司", "股份有限公司", "集团股份有限公司", "（有限合伙）")
+
+
+@query(f"""
+WITH n AS (SELECT s_suppkey, regexp_replace(replace(lower(s_name || list_value{_FORMS}[s_suppkey % 5 + 1]), 'ß', 'ss'), '[^0-9a-z㐀-鿿]+', '', 'g') AS k FROM supplier)
+SELECT s_suppkey, k AS registry_key, CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN '有限公司' WHEN 2 THEN '股份有限公司' WHEN 3 THEN '集团股份有限公司' ELSE '有限合伙' END AS legal_suffix FROM n
+""")
 def x06_registry_key(spark, sf_dir):
-    key = text.registry_key(F.col("s_name"), unicode=False)
+    """Names with a legal form that the row's number picks."""
+    form = F.element_at(F.array(*map(F.lit, _FORMS)), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    key = text.registry_key(F.concat("s_name", form), unicode=False)
     return table(spark, sf_dir, "supplier").select("s_suppkey", key.alias("registry_key"), text.without_legal_suffix(key)["suffix"].alias("legal_suffix"))
 
 
@@ -132,13 +143,14 @@ def x17_content_hash(spark, sf_dir):
 
 
 @query(f"""
-WITH l AS (SELECT source, lang || '|' || {sql_evidence_key('left(text, 200)')} || '||' AS line FROM documents)
-SELECT source, sha256(string_agg(line, chr(10) ORDER BY encode(line))) AS fingerprint FROM l GROUP BY source
+WITH l AS (SELECT doc_id, lang || '|' || {sql_evidence_key('text')} || '||' AS a, source || '|' || {sql_evidence_key('text')} || '||2001-01-01' AS b FROM documents)
+SELECT doc_id, sha256(CASE WHEN encode(a) <= encode(b) THEN a || chr(10) || b ELSE b || chr(10) || a END) AS fingerprint FROM l
 """)
 def x18_claim_fingerprint(spark, sf_dir):
-    claim = F.struct(F.col("lang").alias("evidence_type"), F.substring("text", 1, 200).alias("quote"), F.lit("").alias("value"), F.lit(None).cast("date").alias("evidence_date"))
-    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_list(claim).alias("claims"))
-    return docs.select("source", evidence.claim_fingerprint(F.col("claims"), F.lit("")).alias("fingerprint"))
+    """The fingerprint of a page's claims; here each document makes two, both with its whole text."""
+    claim = lambda kind, day: F.struct(F.col(kind).alias("evidence_type"), F.col("text").alias("quote"), F.lit("").alias("value"), F.lit(day).cast("date").alias("evidence_date"))
+    claims = F.array(claim("lang", None), claim("source", "2001-01-01"))
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.claim_fingerprint(claims, F.lit("")).alias("fingerprint"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '[一-鿿]') AS has_cjk, CASE WHEN length(text) > 32000 THEN left(text, 31999) || '…' ELSE text END AS cut FROM documents")
@@ -147,13 +159,13 @@ def x20_cjk_and_truncation(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(left(text, 400), '[；;、|\n]'), lambda p: trim(p, ' ' || chr(9) || chr(13))), lambda p: p <> ''), '#') AS parts FROM documents
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '[；;、|\n]'), lambda p: trim(p, ' ' || chr(9) || chr(13))), lambda p: p <> ''), '#') AS parts FROM documents
 """)
 def x27_alias_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.aliases(F.substring("text", 1, 400)), "#").alias("parts"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.aliases(F.col("text")), "#").alias("parts"))
 
 
-@query(r"SELECT page_id, sha256(trim(regexp_replace(html, '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS plain FROM pages")
+@query(r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) AS plain FROM pages")
 def x24_without_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.without_tags(F.col("html")), 256).alias("plain"))
 
@@ -435,20 +447,23 @@ def u04_unseen(spark, sf_dir):
 
 @query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events")
 def g01_event_props(spark, sf_dir):
-    """A JSON field by path."""
+    """A JSON field by path."""
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(-1)).alias("k"))
 
 
-@query(f"""
-WITH d AS (SELECT source AS url, doc_id, sha256(text) AS h FROM documents), prior AS (SELECT url, min(h) AS lo, max(h) AS hi, bool_and(doc_id % 2 = 0) AS v FROM d WHERE doc_id % 5 = 0 GROUP BY url),
-p AS (SELECT doc_id AS id, source AS url, sha256(text) AS h FROM documents WHERE doc_id % 7 = 0)
-SELECT id, CASE WHEN lo IS NULL THEN 'new' WHEN NOT (lo = h AND hi = h) THEN 'changed' ELSE 'reextract' END AS action FROM p LEFT JOIN prior USING (url) WHERE lo IS NULL OR NOT (lo = h AND hi = h) OR NOT v
+@query("""
+SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 3 = 1 THEN 'changed' ELSE 'reextract' END AS action
+FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 1 OR doc_id % 2 = 1
 """)
 def t01_changed_pages(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url"), F.sha2("text", 256).alias("content_hash"))
-    stored = d.where("doc_id % 5 = 0").select(F.col("url").alias("source_url"), "content_hash", F.when(F.col("doc_id") % 2 == 0, "v2").otherwise("v1").alias("prompt_version"))
-    pages = d.where("doc_id % 7 = 0").withColumnRenamed("doc_id", "id")
-    return dedup.changed_pages(pages, stored, "v2").select("id", "action")
+    """Every document is a page; what is stored of it says under which url, with which text and by which version it was read before."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("url"), F.sha2("text", 256).alias("content_hash"))
+    stored = d.select(
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("gone-"), "doc_id")).otherwise(F.col("url")).alias("source_url"),
+        F.when(F.col("doc_id") % 3 == 1, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")).alias("content_hash"),
+        F.when(F.col("doc_id") % 2 == 0, "v2").otherwise("v1").alias("prompt_version"),
+    )
+    return dedup.changed_pages(d.withColumnRenamed("doc_id", "id"), stored, "v2").select("id", "action")
 
 
 @query("""
