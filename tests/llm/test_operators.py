@@ -368,7 +368,8 @@ def test_line_dedup(spark, texts):
 def test_line_dedup_in_a_bucket_of_many_clusters(spark, monkeypatch, block):
     monkeypatch.setattr(linededup, "BLOCK", block, raising=False)
     signed = linededup._signed
-    monkeypatch.setattr(linededup, "_signed", lambda lines: signed(lines).withColumn("keys", F.array(F.lit(1).cast("bigint"))))
+    one = lambda m: m.withField("starts", F.array(F.lit(1).cast("bigint"))).withField("at_all", F.array(F.lit(2).cast("bigint")))
+    monkeypatch.setattr(linededup, "_signed", lambda lines: signed(lines).withColumn("m", one(F.col("m"))))
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
     own = [" ".join(word() for _ in range(6)) for _ in range(40)]
