@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Each task gathers the different words (matches of the split pattern) of some megabytes of its
+Each task gathers the different words (matches of the split pattern) of two megabytes of its
 documents that it hasn't encoded yet and lays their bytes out in one chain of linked tokens. An
 inverted index leads from each token pair that is a merge to its positions in all words. Merges
 are applied in rank order, each at all its positions at once; then only the pairs on both sides of
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Words whose ids a Python worker remembers, and bytes of documents that are encoded together.
-REMEMBERED, TOGETHER = 250_000, 8 << 20
+REMEMBERED, TOGETHER = 250_000, 2 << 20
 _NONE = np.int64(1) << 40  # the rank of a pair that is no merge
 
 
