@@ -72,3 +72,8 @@ def lenient_date(c):
 
 def registry_date(c):
     return F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
+
+
+def evidence_date(day, published):
+    """The date of evidence, or of its page where it has none."""
+    return F.coalesce(day, published)

@@ -181,3 +181,23 @@ def _without_one(c, suffixes: tuple[str, ...]):
         fits, rest = c.endswith(s) & (F.length(c) > len(s) + 1), F.left(c, F.length(c) - len(s))
         out = F.when(fits, rest) if out is None else out.when(fits, rest)
     return out.otherwise(c)
+
+
+# Words by which a quote claims that a product is new, or better than one before.
+NOVELTY_CLAIM = "新品|首款|新一代|新型号|首次发布|全新"
+UPGRADE_CLAIM = "升级|迭代|第.{0,3}代|新一代"
+
+
+def claims_novelty(c):
+    return F.coalesce(c, F.lit("")).rlike(NOVELTY_CLAIM)
+
+
+def claims_upgrade(c):
+    return F.coalesce(c, F.lit("")).rlike(UPGRADE_CLAIM)
+
+
+def english_name(english, canonical, original, chinese, translated):
+    """The name to be translated: the first of English, canonical and original name that has a Latin letter; empty where a Chinese one is known."""
+    known = (F.coalesce(chinese, F.lit("")) != "") | (F.coalesce(translated, F.lit("")) != "") | has_cjk(canonical) | has_cjk(original)
+    fits = [F.when(F.coalesce(c, F.lit("")).rlike("[A-Za-z]") & ~has_cjk(c), strip(c)) for c in (english, canonical, original)]
+    return F.when(known, F.lit("")).otherwise(F.coalesce(*fits, F.lit("")))
