@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 # Suffixes of the baseline normalizer, in the order in which they are taken off.
 BASELINE_SUFFIXES = (
@@ -38,10 +39,18 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def nfkc_all(s: pd.Series) -> pd.Series:
-    """NFKC of each text of an array."""
-    return s.map(lambda v: None if v is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in v])
+@functools.cache
+def _single_forms() -> tuple[str, str]:
+    """Characters whose NFKC is one other character, and those."""
+    own = [chr(c) for c in range(0x80, 0xFFFF) if not 0xD800 <= c < 0xE000]
+    pairs = [(c, f) for c in own if (f := unicodedata.normalize("NFKC", c)) != c and len(f) == 1]
+    return "".join(c for c, _ in pairs), "".join(f for _, f in pairs)
+
+
+def single_forms(c):
+    """Wide, narrow, circled and other forms of one character as that character: NFKC but for forms of several characters (as ㈱), which
+    stay, and for composition. It needs no Python, so it may stand in functions of arrays."""
+    return F.translate(c, *_single_forms())
 
 
 def casefold(c):

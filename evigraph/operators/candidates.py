@@ -120,10 +120,8 @@ def validated_candidates(rows: DataFrame, content: str, url: str) -> DataFrame:
     """Evidence and relations that the page bears out, ``valid`` for candidates that keep an identity and a strong mainland relation,
     their ``product_relevance``, and all that was ``rejected``."""
     names = [F.col(n) for n in ("original_name", "canonical_name", "model_number")]
-    # each step's arrays are rows of a generator, so that the next step's normalization isn't nested into them
-    d = rows.select("*", F.explode(F.array(quoted(F.col("field_evidence"), F.col(content)))).alias("_evidence"))
-    found = F.struct(valid_relations(F.col("company_relations"), F.col(content), *names).alias("r"), (F.col("is_object") & F.coalesce(identifies(F.col("_evidence"), *names), F.lit(False))).alias("i"))
-    d = d.select("*", F.explode(F.array(found)).alias("_f")).withColumns({"_relations": F.col("_f.r"), "_identity": F.col("_f.i")})
+    d = rows.withColumn("_evidence", quoted(F.col("field_evidence"), F.col(content)))
+    d = d.withColumn("_relations", valid_relations(F.col("company_relations"), F.col(content), *names)).withColumn("_identity", F.col("is_object") & F.coalesce(identifies(F.col("_evidence"), *names), F.lit(False)))
     valid = F.col("_identity") & has_strong_relation(F.col("_relations"))
     lost = F.size("field_evidence") - F.size("_evidence") + F.when(F.col("_identity"), F.size("company_relations") - F.size("_relations")).otherwise(0)
     detail = (F.col("model_number") != "") | F.col("launch_date").isNotNull() | F.exists("_evidence", lambda e: (e["evidence_type"] == "technical_spec") | e["evidence_date"].isNotNull())

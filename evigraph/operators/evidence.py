@@ -15,17 +15,17 @@ STATUS_RANK = {"unknown": 0, "rumor": 1, "planned": 2, "prototype": 3, "official
 
 
 def _once(use, **values):
-    """``use`` of a struct of values that are made once, outside of ``use``: functions of arrays can't hold the normalization themselves."""
+    """``use`` of a struct of values, so that they are made once for all elements of an array."""
     return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use)[0]
 
 
-def _keys(texts):
-    """Evidence form of each text of an array, compatibility letters folded, as quotes and pages write widths as they like."""
-    return F.transform(text.nfkc_all(texts), lambda t: text.evidence_key(t))
+def _page(content):
+    """Evidence form with widths folded, as quotes and pages write them as they like."""
+    return text.evidence_key(text.single_forms(content))
 
 
-def _page(content):
-    return text.evidence_key(content, unicode=True)
+def _keys(texts):
+    return F.transform(texts, _page)
 
 
 def quoted(evidence, content, exact: bool = False):

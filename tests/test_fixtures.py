@@ -71,7 +71,10 @@ def test_text(spark):
     assert value(spark, text.aliases(F.lit("甲；乙;;丙、 丁|戊\n"))) == ["甲", "乙", "丙", "丁", "戊"]
     variants = value(spark, text.keyword_variants(F.lit("北京百度网讯科技有限公司")))
     assert len(variants) == 3 and variants[0] == "北京百度网讯科技有限公司" and variants[-1] == "北京百度网讯"
-    assert value(spark, text.redacted(F.lit("x key=abc&y secretpw"), ("secretpw",))) == "x key=***&y ***"
+    # a value ends at white space, a comma or a semicolon
+    assert value(spark, text.redacted(F.lit("x key=abc&y;z\n secretpw  api key: q, rest"), ("secretpw",))) == "x key=***;z *** api key=***, rest"
+    assert value(spark, text.keyword_variants(F.lit("优必选机器人有限公司"))) == ["优必选机器人有限公司", "优必选机器人"]
+    assert value(spark, scoring.coerced_score(F.lit(None).cast("string"))) == value(spark, scoring.coerced_score(F.lit("-3"))) == 0
 
 
 def identity(spark, name, model=""):
@@ -236,3 +239,29 @@ def test_incremental(spark, tmp_path):
     run_available(spark, str(tmp_path / "in"), schema, store, str(tmp_path / "ck"))
     rows = {r.source_url: (r.content_hash, r.seen, r.batch) for r in store.read().collect()}
     assert rows == {"a": ("2", 0, 1), "b": ("1", 0, 0), "c": ("1", 1, 1)}
+
+
+def test_page_store_reads_only_whole_deltas(spark, tmp_path):
+    store = PageStore(spark, str(tmp_path / "store"), "v1")
+    pages = lambda *rows: spark.createDataFrame(list(rows), "url string, content_hash string")
+    store.apply(pages(("a", "1"), ("b", "1")), 0)
+    store.apply(pages(("b", "2"), ("c", "1")), 1)
+    (tmp_path / "store" / "batch-2").mkdir()  # a batch that died
+    state = lambda: sorted((r.source_url, r.content_hash, r.seen, r.batch) for r in store.read().collect())
+    want = [("a", "1", 0, 0), ("b", "2", 0, 1), ("c", "1", 1, 1)]
+    assert state() == want
+    store.apply(pages(("b", "2"), ("c", "1")), 1)  # again
+    assert state() == want
+    store.compact(1)
+    store.apply(pages(("a", "9")), 3)
+    assert state() == [("a", "9", 0, 3), *want[1:]]
+
+
+def test_quotes_of_all_lengths(spark):
+    texts = ["abcdefghijklmnopqrstuvwxyz0123456789", "xyz", "", "机器人", "aaaa"]
+    quotes = ["abcdefghijklmnopqrstuvwxyz", "xyz", "z", "器人", "nowhere", "", "aaa", "lmnopqrs"]
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id bigint, quote string")
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id bigint, text string")
+    got = {(r.quote_id, r.text_id) for r in lookup.contained_quotes(q, t).collect()}
+    assert got == {(i, k) for i, x in enumerate(quotes) for k, y in enumerate(texts) if x and x in y}
+    assert lookup.contained_quotes(q.where("false"), t).count() == 0

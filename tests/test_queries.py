@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from evigraph.plans import domain  # noqa: F401  registers its queries too
 from evigraph.plans.queries import ORACLE_SQL, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
