@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, chat, linededup, minhash, packing, simhash, suffixdedup, toxicity, urltree
+from . import bm25, bpe, chat, linecrf, linededup, minhash, packing, repair, simhash, suffixdedup, toxicity, urltree, wand
 from .util import table
 
 
@@ -68,8 +68,25 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, asked)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_fingerprints, op4_url_filter, op5_suffix_dedup, op6_chat_format, op7_packing, op8_bpe, op9_line_dedup, op10_search)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = linecrf.fit(docs, table(spark, sf_dir, "labels"))
+    return linecrf.score(docs, field).select(
+        "doc_id", linecrf.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted")
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_fingerprints, op4_url_filter, op5_suffix_dedup, op6_chat_format, op7_packing, op8_bpe, op9_line_dedup, op10_search, op11_quality, op12_ranked_search, op13_conversation_repair)}
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _RULES = sorted(urltree.RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = "(host = '{1}' OR ends_with(host, '.{1}')) AND starts_with(path, '{2}')"
 
@@ -132,5 +149,19 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (sum(upto) FILTER (role = 'assistant' OR back = 1))::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
+""",
+    "op12_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+c AS (SELECT r, doc_id, len(ts)::BIGINT AS n, ts FROM d WHERE len(ts) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM c),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM c) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY t, docs),
+s AS (
+  SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) JOIN c USING (r), g GROUP BY item_id, r
+),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s JOIN c USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
 """,
 }
