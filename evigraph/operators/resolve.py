@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cache_key, company_key
+from ..functions.text import cache_key, company_key, credit_code
+from .components import cut
+from .matching import match_companies, profiled, score_pairs
+
+# Why a candidate of the registry is taken or not.
+ACCEPTED = "采用：返回候选中名称相似度最高（%s%%）；%s"
+EQUAL = "拒绝：与最高候选同为 %s%%，按稳定排序仅采用第一家"
+LOWER = "拒绝：名称相似度 %s%% 低于已采用候选 %s%%"
+UNNAMED = "拒绝：缺少可用于名称对比的查询企业名称"
+#: Steps of a resolution after a group's own names: likeness to a stored company, the registry entry's code (then its name, then likeness to that).
+LIKE, CODE = 1_000_000, 1_000_001
 
 
 def global_best(matches: DataFrame, key: str = "item_id", least: float = 75.0) -> DataFrame:
@@ -41,18 +51,106 @@ def grouped_relations(relations: DataFrame) -> DataFrame:
     return names.groupBy("item_id", "company_key", "relation_type").agg(F.min("seq").alias("seq"), rows["company_name"].alias("names"))
 
 
-def resolved_companies(groups: DataFrame, exact: DataFrame, similar: DataFrame, registry: DataFrame, least: float = 75.0) -> DataFrame:
-    """Each of ``groups(group_id, name)`` by the first step that knows it: ``exact(group_id, company_id)``, ``similar(group_id, company_id,
-    score)`` of ``least`` or more, ``registry(group_id, registry_name, credit_code, score)`` likewise, whose code may be a stored company's; what is
-    left is created under its own name. -> (group_id, company_id, matched_by, name, credit_code); company_id is null for new ones."""
-    e = exact.groupBy("group_id").agg(F.min("company_id").alias("e_id"))
-    s = similar.where(F.col("score") >= least).groupBy("group_id").agg(F.min_by("company_id", F.struct(-F.col("score"), "company_id")).alias("s_id"))
-    r = registry.where(F.col("score") >= least).groupBy("group_id").agg(F.min_by(F.struct("registry_name", "credit_code"), F.struct(-F.col("score"), "registry_name")).alias("r"))
-    d = groups.join(e, "group_id", "left").join(s, "group_id", "left").join(r, "group_id", "left")
-    how = F.when(F.col("e_id").isNotNull(), "exact").when(F.col("s_id").isNotNull(), "similar").when(F.col("r").isNotNull(), "registry").otherwise("created")
-    found = F.coalesce("e_id", "s_id")
-    official = found.isNull() & F.col("r").isNotNull()
-    return d.select("group_id", found.alias("company_id"), how.alias("matched_by"), F.when(official, F.col("r.registry_name")).otherwise(F.col("name")).alias("name"), F.when(official, F.col("r.credit_code")).otherwise("").alias("credit_code"))
+def resolved_companies(groups: DataFrame, companies: DataFrame, registry: DataFrame, least: float = 75.0) -> DataFrame:
+    """``groups(group_id, seq, names array, strong)``, ``companies(company_id, name, code)`` with a row for each of a company's names,
+    ``registry(group_id, name, code)`` with the entry that was accepted for a group, if any ->
+    (group_id, company_id, founder, matched_by, name, code).
+
+    In order of ``seq`` (unique), each group goes to the company that has one of its names, the first
+    first, stored or created before; else to the stored one that its names are most like, at ``least`` or more; else, if it is ``strong``, to the one that
+    has its registry entry's code or name, or is most like that name; else, if strong, it founds a company under the entry's name and code or its own first name, which later
+    groups find. Others are left out. ``company_id`` is null and ``founder`` the founding group's id where the company is new.
+    """
+    own = groups.select("group_id", "seq", "strong", F.posexplode("names").alias("pos", "name")).withColumn("key", company_key(F.col("name"))).where("key <> ''")
+    entries = registry.join(groups.where("strong").select("group_id", "seq"), "group_id").select("group_id", "seq", F.col("name").alias("r_name"), credit_code(F.col("code")).alias("r_code"))
+    asked = own.select("group_id", "seq", F.col("pos").alias("step"), F.concat(F.lit("n:"), "key").alias("k"))
+    entered = entries.select("group_id", "seq", F.explode(F.array(
+        F.struct(F.lit(CODE).alias("step"), F.concat(F.lit("c:"), "r_code").alias("k")), F.struct(F.lit(CODE + 1).alias("step"), F.concat(F.lit("n:"), company_key(F.col("r_name"))).alias("k")),
+    )).alias("e")).select("group_id", "seq", "e.*").where("length(k) > 2")
+    stored = companies.select("company_id", F.explode(F.array(F.concat(F.lit("n:"), company_key(F.col("name"))), F.concat(F.lit("c:"), credit_code(F.col("code"))))).alias("k")).where("length(k) > 2")
+    stored = stored.groupBy("k").agg(F.min("company_id").alias("company_id"))
+
+    def alike(names: DataFrame) -> DataFrame:  # (group_id, pos, name) -> the stored company most like any of the names
+        queries = names.select("name").distinct().withColumn("q_id", F.xxhash64("name"))
+        records = companies.select(F.col("company_id").alias("r_id"), F.col("name").alias("r_name"))
+        got = match_companies(queries.select("q_id", F.col("name").alias("q_name")), records, k=1).where(F.col("score") >= least).select("q_id", "r_id", "score")
+        found = names.join(queries, "name").join(got, "q_id")
+        return found.groupBy("group_id").agg(F.min_by("r_id", F.struct(-F.col("score"), "pos")).alias("company_id"))
+
+    # what the stored companies settle, each at a step: a name's place, then likeness, the entry's code and name, the entry's likeness
+    direct = asked.join(stored, "k").groupBy("group_id").agg(F.min_by("company_id", "step").alias("company_id"), F.min("step").alias("step"))
+    open_ = own.join(direct, "group_id", "left_anti")
+    similar = alike(open_.select("group_id", "pos", "name"))
+    unlike = entries.join(direct, "group_id", "left_anti").join(similar, "group_id", "left_anti")
+    official = entered.join(stored, "k").join(unlike.select("group_id"), "group_id", "left_semi").groupBy("group_id").agg(F.min_by("company_id", "step").alias("company_id"), F.min("step").alias("step"))
+    unlisted = unlike.join(official, "group_id", "left_anti")
+    entry_like = alike(unlisted.select("group_id", F.lit(0).alias("pos"), F.col("r_name").alias("name")))
+    settled = direct.withColumn("how", F.lit("exact")).unionByName(similar.withColumns({"step": F.lit(LIKE), "how": F.lit("similar")}))
+    settled = settled.unionByName(official.withColumn("how", F.lit("registry"))).unionByName(entry_like.withColumns({"step": F.lit(CODE + 2), "how": F.lit("registry")}))
+    fixed = cut(groups.select("group_id", "seq", "strong").join(settled.withColumnRenamed("step", "at"), "group_id", "left"))
+    # of the rest some found companies; their keys go before what is settled at a later step
+    uses = cut(asked.unionByName(entered).join(fixed.select("group_id", "strong", "at"), "group_id"))
+    founded = _founders(uses.where("at is null and strong"))
+    registers = _registered(uses).join(founded, "group_id", "left_semi").select(F.col("group_id").alias("founder"), F.col("seq").alias("f_seq"), "k")
+    later = uses.join(registers, "k").where("(f_seq < seq or founder = group_id) and (at is null or step < at)").groupBy("group_id").agg(F.min_by("founder", "step").alias("founder"))
+    named = groups.select("group_id", F.get("names", F.lit(0)).alias("own_name")).join(entries.select("group_id", "r_name", "r_code"), "group_id", "left").withColumn("name", F.coalesce(F.nullif("r_name", F.lit("")), "own_name")).withColumn("code", F.coalesce("r_code", F.lit("")))
+    out = fixed.join(later, "group_id", "left").where("founder is not null or company_id is not null")
+    how = F.when(F.col("founder") == F.col("group_id"), "created").when(F.col("founder").isNotNull(), "exact").otherwise(F.col("how"))
+    out = out.select("group_id", F.when(F.col("founder").isNull(), F.col("company_id")).alias("company_id"), "founder", how.alias("matched_by"))
+    return out.join(named.select(F.col("group_id").alias("founder"), "name", "code"), "founder", "left").select("group_id", "company_id", "founder", "matched_by", "name", "code")
+
+
+def _registered(uses: DataFrame) -> DataFrame:
+    """The keys that a founder registers: its first name, its entry's code and name."""
+    return uses.where((F.col("step") == 0) | (F.col("step") >= CODE))
+
+
+def _founders(left: DataFrame) -> DataFrame:
+    """``left(group_id, seq, step, k)`` -> the ``group_id`` of groups none of whose keys was registered by an earlier founder.
+
+    Rounds: a group founds a company once no undecided one before it might register a key of its; those that use its keys later are done too.
+    """
+    done = left.limit(0).select("group_id")
+    while True:
+        first = _registered(left).groupBy("k").agg(F.min("seq").alias("first"))
+        blocked = left.join(first, "k").where("first < seq").select("group_id").distinct()
+        new = cut(left.select("group_id").distinct().join(blocked, "group_id", "left_anti"))
+        if not new.limit(1).count():
+            return done
+        done = done.unionByName(new)
+        keys = _registered(left).join(new, "group_id", "left_semi").groupBy("k").agg(F.min("seq").alias("f_seq"))
+        rest = left.join(new, "group_id", "left_anti")
+        taken = rest.join(keys, "k").where("f_seq < seq").select("group_id").distinct()
+        left = cut(rest.join(taken, "group_id", "left_anti"))
+
+
+def analysed_candidates(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``queries(query_id, names array)``, ``candidates(query_id, seq, name, code)`` -> (query_id, seq, query_name, candidate_name, credit_code, similarity,
+    accepted, reason): each candidate of a query scored by all of the query's names, the best accepted, and why.
+
+    A candidate has its highest score and the first name that gives it. Of candidates with one key a name sees
+    the best; the accepted one is that of the highest score, the first name's of equals, then the longer core's, then the later name's. Without a name that isn't blank
+    all are refused. Names that repeat count once; a query without candidates has no rows.
+    """
+    asked = queries.select("query_id", F.posexplode(F.array_distinct(F.transform("names", lambda n: F.trim(F.coalesce(n, F.lit("")))))).alias("pos", "q_name")).where("q_name <> ''")
+    q = profiled(asked.select("q_name").distinct(), "q_name", "q_")
+    r = profiled(candidates.select(F.col("name").alias("r_name")).distinct(), "r_name", "r_")
+    pairs = asked.join(candidates.select("query_id", "seq", F.col("name").alias("r_name")), "query_id").join(q, "q_name").join(r, "r_name")
+    scored = score_pairs(pairs).select("query_id", "pos", "q_name", "seq", "r_name", "r_full", "r_core", "score", "reason")
+    # a name sees the best of candidates with one key
+    seen = scored.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "pos", "r_full").orderBy(F.desc("score"), "seq"))).where("k = 1")
+    best = seen.groupBy("query_id", "seq").agg(F.min_by(F.struct("q_name", "score", "reason"), F.struct(-F.col("score"), F.col("pos"))).alias("m"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos", F.desc(F.length("r_core")), F.desc("r_name"), "seq")
+    top = seen.withColumn("k", F.row_number().over(order)).where("k = 1").select("query_id", F.col("seq").alias("top_seq"), F.col("score").alias("top"))
+    first = asked.groupBy("query_id").agg(F.min_by("q_name", "pos").alias("first_name"))
+    out = candidates.join(best, ["query_id", "seq"], "left").join(top, "query_id", "left").join(first, "query_id", "left")
+    score, shown = F.coalesce("m.score", F.lit(0.0)), lambda c: F.format_string("%.2f", c)
+    accepted = F.coalesce(F.col("seq") == F.col("top_seq"), F.lit(False))
+    reason = (
+        F.when(F.col("top_seq").isNull(), UNNAMED).when(accepted & F.col("m").isNotNull(), F.format_string(ACCEPTED, shown(score), F.col("m.reason")))
+        .when(score == F.col("top"), F.format_string(EQUAL, shown(score))).otherwise(F.format_string(LOWER, shown(score), shown(F.col("top"))))
+    )
+    return out.select("query_id", "seq", F.coalesce("m.q_name", "first_name", F.lit("")).alias("query_name"), F.col("name").alias("candidate_name"), F.col("code").alias("credit_code"), score.alias("similarity"), accepted.alias("accepted"), reason.alias("reason"))
 
 
 def registry_reasons(scored: DataFrame) -> DataFrame:
@@ -63,9 +161,7 @@ def registry_reasons(scored: DataFrame) -> DataFrame:
     d = d.withColumn("accepted", (F.col("_no") == 1) & F.col("score").isNotNull())
     own, top = F.format_string("%.2f", F.coalesce("score", F.lit(0.0))), F.format_string("%.2f", F.coalesce("_top", F.lit(0.0)))
     reason = (
-        F.when(F.col("accepted"), F.concat(F.lit("采用：返回候选中名称相似度最高（"), own, F.lit("%）；"), F.col("detail")))
-        .when((F.coalesce("score", F.lit(0.0)) == F.col("_top")), F.concat(F.lit("拒绝：与最高候选同为 "), own, F.lit("%，按稳定排序仅采用第一家")))
-        .otherwise(F.concat(F.lit("拒绝：名称相似度 "), own, F.lit("% 低于已采用候选 "), top, F.lit("%")))
+        F.when(F.col("accepted"), F.format_string(ACCEPTED, own, "detail")).when(F.coalesce("score", F.lit(0.0)) == F.col("_top"), F.format_string(EQUAL, own)).otherwise(F.format_string(LOWER, own, top))
     )
     return d.select("query_id", "seq", "candidate_name", F.coalesce("score", F.lit(0.0)).alias("similarity"), "accepted", reason.alias("reason"))
 
@@ -81,23 +177,6 @@ def within_budget(requests: DataFrame, known: DataFrame, most: int) -> DataFrame
     return d.select("seq", "name", F.when(blocked, "blocked").when(F.col("first") == F.col("seq"), "called").otherwise("cached").alias("status"))
 
 
-def baseline_companies(rows: DataFrame) -> DataFrame:
-    """``rows(seq, name, code, aliases array, domain, evidence)`` merged into companies: by code, else by a name or alias that a row with a code
-    has, else by name. -> (company, canonical_name, credit_code, names, domains, evidence_text: the last 30,000 characters)."""
-    own = rows.where(F.trim("name") != "").withColumn("code", F.coalesce("code", F.lit(""))).withColumn("key", company_key(F.col("name")))
-    names = F.filter(F.array_prepend(F.coalesce("aliases", F.array().cast("array<string>")), F.col("name")), lambda n: F.trim(n) != "")
-    own = own.withColumn("names", F.transform(names, lambda n: F.trim(n)))
-    coded = own.where("code <> ''").select("code", F.explode("names").alias("n")).select(company_key(F.col("n")).alias("key"), "code").groupBy("key").agg(F.min("code").alias("of_name"))
-    own = own.join(coded, "key", "left")
-    company = F.when(F.col("code") != "", F.concat(F.lit("c:"), "code")).when(F.col("of_name").isNotNull(), F.concat(F.lit("c:"), "of_name")).otherwise(F.concat(F.lit("n:"), "key"))
-    texts = F.array_sort(F.collect_list(F.struct("seq", "evidence")))
-    out = own.withColumn("company", company).groupBy("company").agg(
-        F.min_by("name", "seq").alias("canonical_name"), F.coalesce(F.min(F.nullif("code", F.lit(""))), F.lit("")).alias("credit_code"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"),
-        F.array_sort(F.collect_set(F.nullif("domain", F.lit("")))).alias("domains"), F.array_join(texts["evidence"], " ").alias("t"),
-    )
-    return out.select("company", "canonical_name", "credit_code", "names", "domains", F.right("t", F.lit(30_000)).alias("evidence_text"))
-
-
 def products_not_in(products, evidence_text):
     """Products of an array whose key isn't in the key of the baseline's text."""
     return F.filter(products, lambda p: (company_key(p) != "") & ~F.contains(company_key(evidence_text), company_key(p)))

@@ -184,19 +184,6 @@ def a15_grouped_relations(t):
     return resolve.grouped_relations(t).withColumn("names", F.array_join("names", "|"))
 
 
-@rows("""
-, d AS (SELECT g.*, (SELECT min(company_id) FROM e WHERE e.group_id = g.group_id) AS e_id,
-  (SELECT first(company_id ORDER BY score DESC, company_id) FROM s WHERE s.group_id = g.group_id AND score >= 75) AS s_id,
-  (SELECT first(registry_name ORDER BY score DESC, registry_name) FROM r WHERE r.group_id = g.group_id AND score >= 75) AS r_name,
-  (SELECT first(credit_code ORDER BY score DESC, registry_name) FROM r WHERE r.group_id = g.group_id AND score >= 75) AS r_code FROM g)
-SELECT group_id, coalesce(e_id, s_id) AS company_id, CASE WHEN e_id IS NOT NULL THEN 'exact' WHEN s_id IS NOT NULL THEN 'similar' WHEN r_name IS NOT NULL THEN 'registry' ELSE 'created' END AS matched_by,
-  CASE WHEN e_id IS NULL AND s_id IS NULL AND r_name IS NOT NULL THEN r_name ELSE name END AS name, CASE WHEN e_id IS NULL AND s_id IS NULL AND r_name IS NOT NULL THEN r_code ELSE '' END AS credit_code FROM d
-""", g=("group_id int, name string", [(1, "甲"), (2, "乙"), (3, "丙"), (4, "丁")]), e=("group_id int, company_id int", [(1, 9), (1, 8)]), s=("group_id int, company_id int, score double", [(1, 1, 99.0), (2, 5, 80.0), (2, 4, 80.0), (3, 6, 74.0)]),
-    r=("group_id int, registry_name string, credit_code string, score double", [(2, "乙公司", "B", 99.0), (3, "丙公司", "C", 90.0), (3, "丙科技", "D", 80.0), (4, "丁戊", "E", 10.0)]))
-def e08_resolved_companies(g, e, s, r):
-    return resolve.resolved_companies(g, e, s, r)
-
-
 @rows("""
 , w AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, seq) AS k FROM t)
 SELECT query_id, seq, candidate_name, coalesce(score, 0) AS similarity, k = 1 AND score IS NOT NULL AS accepted, CASE WHEN k = 1 AND score IS NOT NULL THEN '采用：返回候选中名称相似度最高（' || format('{:.2f}', score) || '%）；' || detail
@@ -214,18 +201,6 @@ def t08_call_budget(t, k):
     return resolve.within_budget(t, k, 2)
 
 
-@rows("""
-, o AS (SELECT *, regexp_replace(lower(trim(name)), '(有限公司)$', '') AS key, list_transform(list_prepend(name, aliases), lambda n: trim(n)) AS names FROM t WHERE trim(name) <> ''),
-c AS (SELECT regexp_replace(lower(n), '(有限公司)$', '') AS key, min(code) AS of_name FROM (SELECT code, unnest(names) AS n FROM o WHERE coalesce(code, '') <> '') GROUP BY 1),
-m AS (SELECT o.*, CASE WHEN coalesce(code, '') <> '' THEN 'c:' || code WHEN of_name IS NOT NULL THEN 'c:' || of_name ELSE 'n:' || key END AS company FROM o LEFT JOIN c USING (key))
-SELECT company, first(name ORDER BY seq) AS canonical_name, coalesce(min(nullif(code, '')), '') AS credit_code, array_to_string(list_sort(list_distinct(flatten(list(names)))), '|') AS names,
-  coalesce(array_to_string(list_sort(list_distinct(list(domain) FILTER (domain <> ''))), '|'), '') AS domains, right(string_agg(evidence, ' ' ORDER BY seq), 30000) AS evidence_text FROM m GROUP BY company
-""", t=("seq int, name string, code string, aliases array<string>, domain string, evidence string", [
-    (0, "甲乙有限公司", "", ["AB"], "ab.com", "first"), (1, "甲乙", "X1", ["甲乙旧"], "", "second"), (2, "甲乙旧有限公司", None, [], "old.cn", "third"), (3, "丙", "", [], "", "c" * 40000), (4, " ", "Y", [], "", "none"), (5, "丙有限公司", "", ["C"], "", "tail")]))
-def s05_baseline_companies(t):
-    return resolve.baseline_companies(t).withColumn("names", F.array_join("names", "|")).withColumn("domains", F.array_join("domains", "|"))
-
-
 @rows("SELECT id, array_to_string(list_filter(p, lambda x: regexp_replace(lower(x), '[\\s\\-]+', '', 'g') <> '' AND NOT contains(regexp_replace(lower(b), '[\\s\\-]+', '', 'g'), regexp_replace(lower(x), '[\\s\\-]+', '', 'g'))), '|') AS fresh FROM t",
       t=("id int, p array<string>, b string", [(1, ["X-1", "Y 2", "-"], "has x1 in it"), (2, ["X1"], ""), (3, [], "a")]))
 def u05_unseen_products(t):

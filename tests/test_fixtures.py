@@ -151,7 +151,7 @@ def test_profile():
     p = matching.Profiler()
     assert p.profile("深圳市优必选科技股份有限公司") == ("深圳市优必选科技股份有限公司", "深圳市优必选科技", "优必选", ["深圳"], ["科技"], "股份有限公司")
     assert p.profile("市柔宇科技股份有限公司（深圳）")[2:4] == ("柔宇", ["深圳"])
-    assert len(p.regions) == 133 and len(set(p.regions.values())) == 66
+    assert len(matching.REGIONS) == 133 and len(set(matching.REGIONS.values())) == 66
 
 
 EVIDENCE = "array<struct<evidence_type: string, quote: string, value: string, evidence_date: date>>"
