@@ -78,11 +78,12 @@ def resolved_companies(groups: DataFrame, companies: DataFrame, registry: DataFr
         return found.groupBy("group_id").agg(F.min_by("r_id", F.struct(-F.col("score"), "pos")).alias("company_id"))
 
     # what the stored companies settle, each at a step: a name's place, then likeness, the entry's code and name, the entry's likeness
-    direct = asked.join(stored, "k").groupBy("group_id").agg(F.min_by("company_id", "step").alias("company_id"), F.min("step").alias("step"))
+    direct = cut(asked.join(stored, "k").groupBy("group_id").agg(F.min_by("company_id", "step").alias("company_id"), F.min("step").alias("step")))
     open_ = own.join(direct, "group_id", "left_anti")
-    similar = alike(open_.select("group_id", "pos", "name"))
+    similar = cut(alike(open_.select("group_id", "pos", "name")))
     unlike = entries.join(direct, "group_id", "left_anti").join(similar, "group_id", "left_anti")
     official = entered.join(stored, "k").join(unlike.select("group_id"), "group_id", "left_semi").groupBy("group_id").agg(F.min_by("company_id", "step").alias("company_id"), F.min("step").alias("step"))
+    official = cut(official)
     unlisted = unlike.join(official, "group_id", "left_anti")
     entry_like = alike(unlisted.select("group_id", F.lit(0).alias("pos"), F.col("r_name").alias("name")))
     settled = direct.withColumn("how", F.lit("exact")).unionByName(similar.withColumns({"step": F.lit(LIKE), "how": F.lit("similar")}))

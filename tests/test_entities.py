@@ -75,7 +75,7 @@ def test_nearest_products(spark):
 
 
 def test_inventory_query(spark):
-    from evigraph.plans.queries import QUERIES
+    from evigraph.plans.entities import QUERIES
 
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["m06_inventory_best"](spark, sf).collect()
