@@ -40,10 +40,15 @@ def verification_status(score, eligible, verify: int = 80, review: int = 60):
     return F.when((score >= verify) & eligible, "verified").when(score >= review, "needs_review").otherwise("rejected")
 
 
-def coerced_score(c):
-    """A label or a number, halves rounded to even, as a score of 0 to 100; anything else, null too, is 0."""
+def label_score(c):
+    """The score of a label, null for other texts."""
     label = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    named = F.when(label == "high", 90).when(label == "medium", 70).when(label == "low", 40).when(label == "direct", 85).when(label == "indirect", 50)
+    return F.when(label == "high", 90).when(label == "medium", 70).when(label == "low", 40).when(label == "direct", 85).when(label == "indirect", 50)
+
+
+def coerced_score(c):
+    """A label or a number as text, halves rounded to even, as a score of 0 to 100; anything else, null too, is 0. Of JSON, where numbers and texts differ, ``variant_score`` is the rule."""
+    label, named = F.lower(F.trim(F.coalesce(c, F.lit("")))), label_score(c)
     number = F.when(label.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?$"), label.try_cast("double"))
     return F.coalesce(named, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(F.coalesce(number, F.lit(0.0))))).cast("int"))
 

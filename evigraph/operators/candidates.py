@@ -1,4 +1,4 @@
-"""Model output as rows: JSON unwrapped, candidates repaired and validated, and counts of what was rejected."""
+"""Model output as rows: VARIANTs of JSON, candidates repaired and validated, and counts of what was rejected."""
 
 from __future__ import annotations
 
@@ -24,24 +24,38 @@ TEXT_FIELDS = ("english_name", "model_number", "series_name", "robot_category",
 NO_DATE = ("none", "null", "unknown", "未知")
 
 
-def unwrapped(c, depth: int = 3):
-    """The text within JSON strings of JSON strings, ``depth`` deep at most."""
-    for _ in range(depth):
-        c = F.when(F.ltrim(c).startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit("["), c, F.lit("]")), "$[0]"), c)).otherwise(c)
-    return c
+def kind_of(v):
+    """What a VARIANT is: OBJECT, ARRAY, STRING, BOOLEAN, VOID (a JSON null), a kind of number; null if there is none."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def first_field(item, *names: str):
-    """The first field of a JSON object that isn't blank, trimmed; empty if there is none."""
-    found = [F.nullif(blank_to_empty(F.get_json_object(item, f"$.{n}")), F.lit("")) for n in names]
-    return F.coalesce(*found, F.lit(""))
+def field_of(v, name: str):
+    return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def json_items(c):
-    """The elements of a JSON list as texts, or the only one of a JSON object; of anything else none."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    none = F.array().cast("array<string>")
-    return F.coalesce(F.from_json(F.when(t.startswith("{"), F.concat(F.lit("["), t, F.lit("]"))).when(t.startswith("["), t), "array<string>"), none)
+def text_of(v):
+    """The text of a VARIANT, trimmed; empty for null or nothing."""
+    said = F.try_variant_get(v, "$", "string")
+    return blank_to_empty(F.when(kind_of(v) == "BOOLEAN", F.initcap(said)).otherwise(said))
+
+
+def first_field(v, *names: str):
+    """The first field of an object that isn't blank, trimmed; empty if there is none."""
+    return F.coalesce(*(F.nullif(text_of(field_of(v, n)), F.lit("")) for n in names), F.lit(""))
+
+
+def items_of(v):
+    """The elements of a list, or the only one of an object; of anything else none."""
+    none = F.array().cast("array<variant>")
+    kind = kind_of(v)
+    return F.coalesce(F.when(kind == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).when((kind == "OBJECT") & (F.try_variant_get(v, "$", "string") != "{}"), F.array(v)), none)
+
+
+def variant_score(v):
+    """A number, halves rounded to even, or a label as a score of 0 to 100; other texts, null and nothing are 0."""
+    kind = kind_of(v)
+    number = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(~kind.isin("STRING", "OBJECT", "ARRAY", "VOID"), F.try_variant_get(v, "$", "double"))
+    return F.coalesce(F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(number)))).cast("int"), F.when(kind == "STRING", scoring.label_score(F.try_variant_get(v, "$", "string"))), F.lit(0))
 
 
 def candidate_date(c):
@@ -57,61 +71,68 @@ def _alias(c, aliases: dict[str, str]):
     return F.coalesce(F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))[c], c)
 
 
-def _is_object(c):
-    return F.coalesce(F.trim(c).startswith("{"), F.lit(False))
+def _is_object(v):
+    return F.coalesce(kind_of(v) == "OBJECT", F.lit(False))
 
 
 def raw_candidates(pages: DataFrame, reply: str, *columns: str) -> DataFrame:
-    """One row for each entry of the reply's ``candidates`` with its place ``pos`` and its JSON text ``item``; a code fence goes first,
-    one object counts as a list of one, a reply that is no JSON object has none."""
-    items = json_items(F.get_json_object(unfenced(unwrapped(F.col(reply))), "$.candidates"))
-    return pages.select(*columns, F.posexplode(items).alias("pos", "item"))
+    """One row for each entry of the reply's ``candidates`` with its place ``pos`` and the VARIANT ``item``; a code fence goes first,
+    one object counts as a list of one, a reply that is no JSON object, a JSON text with JSON in it too, has none."""
+    whole = F.try_parse_json(unfenced(F.col(reply)))
+    return pages.select(*columns, F.posexplode(items_of(field_of(whole, "candidates"))).alias("pos", "item"))
 
 
 def repaired_candidates(rows: DataFrame) -> DataFrame:
-    """Adds the repaired fields of each ``item``, whether anything was ``repaired``, and how much evidence was ``rejected``.
+    """Adds the repaired fields of each VARIANT ``item``, whether anything was ``repaired``, and how much evidence was ``rejected``.
 
-    Entries that aren't objects get ``is_object`` false. A field that is null counts as one that isn't there.
+    Entries that aren't objects get ``is_object`` false. Texts that are numbers, nulls or have blanks around them count as repaired, fields that
+    aren't there don't; a relevance that is no number does.
     """
-    item, field = F.col("item"), lambda n: F.get_json_object("item", f"$.{n}")
-    names = {n: blank_to_empty(field(n)) for n in ("original_name", "canonical_name")}
+    item, field = F.col("item"), lambda n: field_of(F.col("item"), n)
+    names = {n: text_of(field(n)) for n in ("original_name", "canonical_name")}
     filled = {"original_name": F.when(names["original_name"] == "", names["canonical_name"]).otherwise(names["original_name"]), "canonical_name": F.when(names["canonical_name"] == "", names["original_name"]).otherwise(names["canonical_name"])}
-    texts = {n: blank_to_empty(field(n)) for n in TEXT_FIELDS}
-    day, status = candidate_date(field("launch_date")), F.coalesce(field("launch_status"), F.lit(""))
-    evidence, relations = json_items(field("field_evidence")), json_items(field("company_relations"))
+    texts = {n: text_of(field(n)) for n in TEXT_FIELDS}
+    plain = lambda v: F.try_variant_get(v, "$", "string")
+    as_said = lambda v, shown: v.isNull() | ((kind_of(v) == "STRING") & (plain(v) == shown))
+    day, status = candidate_date(text_of(field("launch_date"))), F.when(kind_of(field("launch_status")) == "STRING", plain(field("launch_status")))
+    evidence, relations = items_of(field("field_evidence")), items_of(field("company_relations"))
 
-    said = lambda e: F.lower(blank_to_empty(F.get_json_object(e, "$.evidence_type")))
+    said = lambda e: F.lower(text_of(field_of(e, "evidence_type")))
     quote = lambda e: first_field(e, "quote", "source_quote", "evidence_quote", "text", "value")
     fits = lambda e: _is_object(e) & _alias(said(e), EVIDENCE_ALIASES).isin(*EVIDENCE_TYPES) & (quote(e) != "")
     kept = F.transform(F.filter(evidence, fits), lambda e: F.struct(
-        _alias(said(e), EVIDENCE_ALIASES).alias("evidence_type"), quote(e).alias("quote"), first_field(e, "value").alias("value"), candidate_date(F.get_json_object(e, "$.evidence_date")).alias("evidence_date"),
+        _alias(said(e), EVIDENCE_ALIASES).alias("evidence_type"), quote(e).alias("quote"), first_field(e, "value").alias("value"), candidate_date(text_of(field_of(e, "evidence_date"))).alias("evidence_date"),
     ))
     other_words = F.exists(evidence, lambda e: _is_object(e) & (_alias(said(e), EVIDENCE_ALIASES) != said(e)))
     other_quotes = F.exists(evidence, lambda e: fits(e) & (first_field(e, "quote") == ""))
 
     claim = lambda r: first_field(r, "evidence_quote", "quote", "source_quote", "text")
     named = lambda r: _is_object(r) & (first_field(r, "company_name") != "") & (claim(r) != "")
-    kind = lambda r: _alias(F.lower(first_field(r, "relation_type")), RELATION_ALIASES)
+    type_of = lambda r: _alias(F.lower(first_field(r, "relation_type")), RELATION_ALIASES)
     region = lambda r: F.lower(first_field(r, "company_region_type"))
     known = lambda c, values: F.when(c.isin(*values), c).otherwise("unknown")
     related = F.transform(F.filter(relations, named), lambda r: F.struct(
-        first_field(r, "company_name").alias("company_name"), known(kind(r), RELATION_TYPES).alias("relation_type"), claim(r).alias("evidence_quote"),
-        scoring.coerced_score(F.get_json_object(r, "$.confidence")).alias("confidence"), known(region(r), REGIONS).alias("company_region_type"),
+        first_field(r, "company_name").alias("company_name"), known(type_of(r), RELATION_TYPES).alias("relation_type"), claim(r).alias("evidence_quote"),
+        variant_score(field_of(r, "confidence")).alias("confidence"), known(region(r), REGIONS).alias("company_region_type"),
     ))
-    unknown = F.exists(relations, lambda r: named(r) & (~kind(r).isin(*RELATION_TYPES) | ~region(r).isin(*REGIONS)))
+    unknown = F.exists(relations, lambda r: named(r) & (~type_of(r).isin(*RELATION_TYPES) | ~region(r).isin(*REGIONS)))
 
-    single = lambda n: F.coalesce(F.trim(field(n)).startswith("{"), F.lit(False))
+    # a list that is an object, or something else that isn't empty
+    no_list = lambda v: ~kind_of(v).isin("ARRAY", "VOID") & ~plain(v).isin("", "{}", "0", "0.0", "false")
     changed = [
         filled["original_name"] != names["original_name"], filled["canonical_name"] != names["canonical_name"],
-        *(texts[n] != F.coalesce(field(n), F.lit("")) for n in TEXT_FIELDS), ~day.eqNullSafe(field("launch_date")), ~status.isin(*STATUSES),
-        ~F.coalesce(field("product_relevance"), F.lit("")).rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), other_words, other_quotes, unknown, single("field_evidence"), single("company_relations"),
+        *(~as_said(field(n), texts[n]) for n in TEXT_FIELDS), ~(as_said(field("launch_date"), day) | ((kind_of(field("launch_date")) == "VOID") & day.isNull())), ~status.isin(*STATUSES),
+        kind_of(field("product_relevance")).isin("STRING", "VOID", "OBJECT", "ARRAY"), field("product_relevance").isNull(), status.isNull(),
+        other_words, other_quotes, unknown, no_list(field("field_evidence")), no_list(field("company_relations")),
     ]
-    any_ = changed[0]
-    for c in changed[1:]:
-        any_ = any_ | c
+    any_ = F.lit(False)
+    for c in changed:
+        any_ = any_ | F.coalesce(c, F.lit(False))
+    # a date that can't be read is a change too
+    any_ = any_ | F.coalesce(day.isNull() & field("launch_date").isNotNull() & (kind_of(field("launch_date")) != "VOID"), F.lit(False))
     return rows.select(
         "*", _is_object(item).alias("is_object"), *(c.alias(n) for n, c in (filled | texts).items()), day.alias("launch_date"), known(status, STATUSES).alias("launch_status"),
-        F.lower(blank_to_empty(field("novelty_claimed"))).isin("1", "true", "yes", "是").alias("novelty_claimed"), kept.alias("field_evidence"), related.alias("company_relations"),
+        F.lower(text_of(field("novelty_claimed"))).isin("1", "true", "yes", "是").alias("novelty_claimed"), kept.alias("field_evidence"), related.alias("company_relations"),
         (_is_object(item) & any_).alias("repaired"), F.when(_is_object(item), F.size(evidence) - F.size(kept) + F.size(relations) - F.size(related)).otherwise(0).alias("rejected"),
     )
 
