@@ -1,4 +1,7 @@
-"""A cleaning pipeline over ``documents``: each stage works on all that the one before it kept."""
+"""A cleaning pipeline over ``documents``: each stage works on all that the one before it kept.
+
+A stage of an empty table gives an empty one; columns beside those of documents aren't read and don't clash.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +15,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon rejects go (score of 0.7 or more)."""
+    """Documents that the lexicon rejects go (score of 0.7 or more).
+
+    Null and empty texts match nothing and stay; repeated rows and ids are judged row by row; other columns than those of documents are dropped.
+    """
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), lexicon).where("tox_predicted = 0").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of like lines one stays; documents stay, with the lines that are left."""
+    """Of like lines one stays; every row stays, null ids too, with the lines that are left.
+
+    A null or empty text becomes or stays without lines; a repeated row loses what the first one keeps; ``n_chars`` is counted anew.
+    """
     return _documents(linededup.dedup_lines(docs, columns=("lang", "source")))
 
 
@@ -28,14 +37,16 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 200 that occur twice go; a character of which a byte went goes as a whole."""
+    """Byte strings of 200 that occur twice go; a character of which a byte went goes as a whole, others, U+FFFD too, stay.
+
+    Every row stays; a null text becomes an empty one; of repeated rows of 200 bytes or more all bytes go, as they occur twice.
+    """
     kept = suffixdedup.remove_repeats(docs, text=True, columns=("lang", "source"))
-    text = F.expr("cast(kept as string)")
-    return _documents(kept.withColumn("text", F.coalesce(F.try_validate_utf8(text), F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))))
+    return _documents(kept.withColumnRenamed("kept_text", "text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as pieces of 2048-token sequences."""
+    """The documents as pieces of 2048-token sequences; null and empty texts have their end token only, repeated rows their own pieces, a very long text many."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
