@@ -399,8 +399,22 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 96) -> DataFra
     return texts.join(by_text, "rid", "left")
 
 
+def kept_text(data: bytes, cut: list[tuple[int, int]]) -> str:
+    """The text outside the spans; a character of which a byte is inside one goes as a whole."""
+    inside = lambda i: 0 < i < len(data) and 0x80 <= data[i] < 0xC0  # noqa: E731  within a character
+    kept, at = [], 0
+    for a, z in cut:
+        while inside(a):
+            a -= 1
+        while inside(z):
+            z += 1
+        kept.append(data[at : max(a, at)])
+        at = max(z, at)
+    return b"".join([*kept, data[at:]]).decode()
+
+
 def _remove(width: int, text: bool):
-    fields = ["rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * text]
+    fields = ["rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "kept_text"] * text]
 
     def run(batches):
         for b in batches:
@@ -414,21 +428,23 @@ def _remove(width: int, text: bool):
                         kept.append(data[at:a])
                         at = z
                     rest = b"".join([*kept, data[at:]])
-                    out.append((rid, len(data), len(data) - len(rest), len(cut), hashlib.sha256(rest).hexdigest(), rest)[: len(fields)])
-                types = [pa.binary()] + [pa.int64()] * 3 + [pa.string(), pa.binary()]
+                    row = rid, len(data), len(data) - len(rest), len(cut), hashlib.sha256(rest).hexdigest()
+                    out.append((*row, rest, kept_text(data, cut)) if text else row)
+                types = [pa.binary()] + [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=fields)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 96, text: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
-    """``docs(doc_id, text)`` -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256), and the bytes ``kept`` if asked for.
+    """``docs(doc_id, text)`` -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256), and, if asked for, the bytes ``kept`` and ``kept_text``, without
+    characters that lost a byte.
 
     Matches never cross texts; bytes are judged on the input. Null and empty texts have no bytes.
     Rows that repeat are copies of each other, so all their bytes go if there are ``width`` of them;
     null ids are carried; other columns aren't read, but for ``columns``, which are carried along; no
     rows give none.
     """
-    kind = "rid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
+    kind = "rid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * text
     done = repeated_spans(docs, width, gram).mapInArrow(_remove(width, text), kind)
     return docs.select("doc_id", *columns, text_key().alias("rid")).join(done, "rid").drop("rid")

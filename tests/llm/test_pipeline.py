@@ -20,7 +20,7 @@ def test_stages(spark, sf):
     before, after = out["simhash near-dedup"]
     assert {r.doc_id for r in after.collect()} == {r.component_id for r in simhash.near_duplicates(before).collect()}
     before, after = out["suffix-array dedup"]
-    kept = {r.doc_id: bytes(r.kept).decode(errors="ignore") for r in suffixdedup.remove_repeats(before, text=True).collect()}
+    kept = {r.doc_id: r.kept_text for r in suffixdedup.remove_repeats(before, text=True).collect()}
     assert {r.doc_id: r.text for r in after.collect()} == kept
     assert {r.doc_id for r in out["packing"][1].collect()} == set(kept)
 
@@ -39,5 +39,34 @@ def test_null_and_repeated_ids(spark, sf):
     assert packed == {i for i, _ in rows}
 
 
+def test_cut_characters():
+    """Broken characters go, real replacement characters stay."""
+    text = "zz \ufffd zz é" + "ü" * 5 + " \ufffd end 中"
+    data = text.encode()
+    for a in range(len(data)):
+        for z in range(a + 1, len(data) + 1):
+            at, out = 0, ""
+            for c in text:
+                if at + len(c.encode()) <= a or at >= z:
+                    out += c
+                at += len(c.encode())
+            assert suffixdedup.kept_text(data, [(a, z)]) == out
+    assert suffixdedup.kept_text(data, [(3, 4), (5, 6)]) == text.replace("\ufffd", "", 1)
+
+
+def test_stages_keep_replacement_characters(spark, sf):
+    shared = "same passage in two texts of ü umlauts and \ufffd signs, " * 8
+    rows = [(1, "first \ufffd one é" + shared + "ü tail of one \ufffd"), (2, "second \ufffd ö" + shared + "ö tail of two"), (3, None), (4, ""), (5, "long \ufffd word " * 9000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, kept_text string, rid int")
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs, sf).collect()}
+    assert got[1].startswith("first \ufffd one") and got[1].endswith("tail of one \ufffd") and got[2].startswith("second \ufffd") and "passage" not in got[1] + got[2]
+    assert got[3] == got[4] == "" and len(got) == 5
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert stage is corpus_pipeline.pack or out.columns == list(corpus_pipeline.COLUMNS)
+        assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 5} or stage is corpus_pipeline.simhash_dedup
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
