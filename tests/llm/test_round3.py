@@ -258,3 +258,12 @@ def test_repaired_turns(spark):
         rows.setdefault(r.conv_id, []).append((r.role, r.text))
     assert rows == {1: [("system", "Be kind."), ("user", "Hello."), ("assistant", "Hi.")]}
     assert [(r.audit, r.cost) for r in repair.audits(turns).orderBy("conv_id").collect()] == [("KRRD", 4), ("D", 2)]
+
+
+def test_search_of_a_word_that_all_have(spark):
+    """However small a term's weight, all documents with it are found (op10)."""
+    from evigraph.llm import bm25
+
+    docs = spark.range(400_000).select(F.col("id").alias("doc_id"), F.lit("the").alias("text"))
+    got = bm25.search(docs, spark.createDataFrame([(-1, "the")], "query_id long, text string"), 5).collect()
+    assert sorted((r["rank"], r.doc_id) for r in got) == [(i, i - 1) for i in range(1, 6)]
