@@ -18,9 +18,12 @@ def merged_results(results: DataFrame) -> DataFrame:
     out = keyed.groupBy("url").agg(
         F.coalesce(F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", at)), F.lit("")).alias("title"),
         F.max_by("snippet", F.struct(F.length(F.coalesce("snippet", F.lit(""))), -F.col("provider_ord"), -F.col("seq"))).alias("snippet"),
-        F.array_sort(F.collect_list(F.struct("provider_ord", "seq", "providers"))).alias("all"),
     )
-    return out.select("url", "title", "snippet", F.array_distinct(F.flatten(F.col("all.providers"))).alias("providers"))
+    # what is gathered for a page is each provider's first sight, not every hit
+    hits = keyed.select("url", "provider_ord", "seq", F.posexplode("providers").alias("pos", "provider"))
+    firsts = hits.groupBy("url", "provider").agg(F.min(F.struct("provider_ord", "seq", "pos")).alias("at"))
+    sights = firsts.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "provider"))), lambda s: s["provider"]).alias("providers"))
+    return out.join(sights, "url", "left").select("url", "title", "snippet", F.coalesce("providers", F.array().cast("array<string>")).alias("providers"))
 
 
 def unseen(df: DataFrame, seen: DataFrame, key: str, *order) -> DataFrame:

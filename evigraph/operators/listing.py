@@ -46,3 +46,9 @@ def tally(df: DataFrame, *columns: str) -> DataFrame:
     """``(facet, value, n)`` of each column, in one pass over the table."""
     facets = F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns)))
     return df.select(facets.alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tally_maps(df: DataFrame, by: str, column: str) -> DataFrame:
+    """``(by, tally)``: how often each value of the column comes, as a map; nulls count as empty."""
+    n = df.groupBy(by, F.coalesce(F.col(column).cast("string"), F.lit("")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("_v", "_n"))).alias("tally"))

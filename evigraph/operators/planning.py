@@ -14,7 +14,7 @@ def follow_ups(gaps: DataFrame, templates: DataFrame, seen: DataFrame, most: int
 
     The name replaces ``{name}``. Queries in ``seen(query)`` aren't asked again.
     """
-    asked = gaps.join(F.broadcast(templates), "gap").withColumn("query", F.replace("template", F.lit("{name}"), F.col("name")))
+    asked = gaps.join(templates, "gap").withColumn("query", F.replace("template", F.lit("{name}"), F.col("name")))
     fresh = asked.groupBy("id", "query").agg(F.min(F.struct("priority", "gap")).alias("p")).join(seen.select("query").distinct(), "query", "left_anti")
     return top_k(fresh.select("id", "query", "p.priority", "p.gap"), ["id"], most, "priority", "query").drop("rank")
 

@@ -33,10 +33,11 @@ def collapsed_relations(relations: DataFrame) -> DataFrame:
     """``relations(product_id, company_id, relation_type, score, is_primary, evidence array)`` -> one row a product and company:
     the best type by (primary, score), whether any is primary, the highest score, and all different evidence."""
     best = F.struct(F.col("is_primary").cast("int"), "score", F.col("relation_type"))
-    return relations.groupBy("product_id", "company_id").agg(
-        F.max_by("relation_type", best).alias("relation_type"), F.bool_or("is_primary").alias("is_primary"), F.max("score").alias("score"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"),
-    )
+    by = ["product_id", "company_id"]
+    heads = relations.groupBy(*by).agg(F.max_by("relation_type", best).alias("relation_type"), F.bool_or("is_primary").alias("is_primary"), F.max("score").alias("score"))
+    # evidence is made different before it is gathered
+    each = relations.select(*by, F.explode("evidence").alias("e")).distinct().groupBy(*by).agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+    return heads.join(each, by, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(relations.schema["evidence"].dataType)))
 
 
 def joined_text(df: DataFrame, key: str, text: str, seq: str, most: int = 8, length: int = 32_000) -> DataFrame:

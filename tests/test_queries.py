@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from evigraph.plans import domain, entities  # noqa: F401  they register their queries too
+from evigraph.plans import domain, entities, rules  # noqa: F401  they register their queries too
 from evigraph.plans.queries import ORACLE_SQL, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
