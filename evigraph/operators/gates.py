@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 # The gaps of a product's evidence, in order.
@@ -57,7 +57,24 @@ def relation_decision(score, n_evidence, verify: int = 80):
     )
 
 
+OUTCOMES = ("created", "updated", "rejected", "skipped")
+
+
+def _counts(column: str) -> list:
+    return [*(F.count_if(F.col(column) == n).alias(n) for n in OUTCOMES), F.count(F.lit(1)).alias("candidates")]
+
+
 def run_counters(outcomes: DataFrame, column: str = "outcome") -> DataFrame:
     """How many rows had each outcome, one row for all."""
-    names = ("created", "updated", "rejected", "skipped")
-    return outcomes.agg(*(F.count_if(F.col(column) == n).alias(n) for n in names), F.count(F.lit(1)).alias("candidates"))
+    return outcomes.agg(*_counts(column))
+
+
+def observed_counters(outcomes: DataFrame, column: str = "outcome", name: str = "counters") -> tuple[DataFrame, Observation]:
+    """The same rows and an observation of their counts, which are made while the rows are written: ``observation.get`` has them after the write."""
+    seen = Observation(name)
+    return outcomes.observe(seen, *_counts(column)), seen
+
+
+def merged_counters(before: dict, seen: Observation) -> dict:
+    """Counts so far with those of one more batch."""
+    return {n: before.get(n, 0) + seen.get.get(n, 0) for n in (*OUTCOMES, "candidates")}
