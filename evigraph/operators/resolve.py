@@ -73,7 +73,7 @@ def resolved_companies(groups: DataFrame, companies: DataFrame, registry: DataFr
     def alike(names: DataFrame) -> DataFrame:  # (group_id, pos, name) -> the stored company most like any of the names
         queries = names.select("name").distinct().withColumn("q_id", F.xxhash64("name"))
         records = companies.select(F.col("company_id").alias("r_id"), F.col("name").alias("r_name"))
-        got = match_companies(queries.select("q_id", F.col("name").alias("q_name")), records, k=1, least=least).where(F.col("score") >= least).select("q_id", "r_id", "score")
+        got = match_companies(queries.select("q_id", F.col("name").alias("q_name")), records, k=1, least=least, worse=False).where(F.col("score") >= least).select("q_id", "r_id", "score")
         found = names.join(queries, "name").join(got, "q_id")
         return found.groupBy("group_id").agg(F.min_by("r_id", F.struct(-F.col("score"), "pos")).alias("company_id"))
 
