@@ -29,7 +29,9 @@ def global_best(matches: DataFrame, key: str = "item_id", least: float = 75.0) -
 def scoped_product(candidates: DataFrame, relations: DataFrame, companies: DataFrame) -> DataFrame:
     """``candidates(item_id, seq, product_id)``, ``relations(product_id, company_id)``, ``companies(item_id, company_id)`` -> (item_id,
     product_id): the first candidate that one of the item's companies is related to, else the first of all."""
-    related = companies.join(relations, "company_id").select("item_id", "product_id").distinct().withColumn("own", F.lit(0))
+    # a company's relations meet only the products that its items have as candidates, not all items of the company
+    asked = candidates.select("item_id", "product_id").join(companies.select("item_id", "company_id").distinct(), "item_id").distinct()
+    related = asked.join(relations.select("product_id", "company_id").distinct(), ["product_id", "company_id"], "left_semi").select("item_id", "product_id").distinct().withColumn("own", F.lit(0))
     own = candidates.join(related, ["item_id", "product_id"], "left").withColumn("own", F.coalesce("own", F.lit(1)))
     return own.groupBy("item_id").agg(F.min_by("product_id", F.struct("own", "seq")).alias("product_id"))
 
