@@ -16,6 +16,8 @@ LOWER = "拒绝：名称相似度 %s%% 低于已采用候选 %s%%"
 UNNAMED = "拒绝：缺少可用于名称对比的查询企业名称"
 #: Steps of a resolution after a group's own names: likeness to a stored company, the registry entry's code (then its name, then likeness to that).
 LIKE, CODE = 1_000_000, 1_000_001
+#: Rows of evidence that a task of the count of claims has, about.
+ROWS = 500_000
 
 
 def global_best(matches: DataFrame, key: str = "item_id", least: float = 75.0) -> DataFrame:
@@ -39,9 +41,14 @@ def scoped_product(candidates: DataFrame, relations: DataFrame, companies: DataF
 def relation_sources(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """``evidence(relation_id, product_id, source_url)``, ``sources(product_id, source_url, source_type, claim_fingerprint,
     content_hash)`` -> (relation_id, independent, official): different claims behind a relation, and whether one is official."""
-    own = evidence.select("relation_id", "product_id", "source_url").distinct().join(sources, ["product_id", "source_url"], "left")
-    claim = F.coalesce(F.nullif("claim_fingerprint", F.lit("")), "content_hash")
-    return own.groupBy("relation_id").agg(F.count_distinct(claim).alias("independent"), F.coalesce(F.bool_or(F.col("source_type") == "official"), F.lit(False)).alias("official"))
+    claim = F.coalesce(F.nullif("claim_fingerprint", F.lit("")), "content_hash").alias("claim")
+    known = sources.select("product_id", "source_url", claim, (F.col("source_type") == "official").alias("official"))
+    # repeated evidence changes neither result, so only claims are made distinct, behind a shuffle of their own: the join's tasks sort, the others group;
+    # there are as many of either as keep a task's rows few
+    parts, keys = -(-evidence.count() // ROWS) or 1, ["product_id", "source_url"]
+    own = evidence.select("relation_id", *keys).repartition(parts, *keys).join(known.repartition(parts, *keys), keys, "left").select("relation_id", "claim", "official")
+    claims = own.repartition(parts, "relation_id", "claim").groupBy("relation_id", "claim").agg(F.bool_or("official").alias("official"))
+    return claims.groupBy("relation_id").agg(F.count("claim").alias("independent"), F.coalesce(F.bool_or("official"), F.lit(False)).alias("official"))
 
 
 def grouped_relations(relations: DataFrame) -> DataFrame:
