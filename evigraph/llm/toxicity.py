@@ -54,6 +54,10 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
+#: Rows that are scored together.
+TOGETHER = 256
+
+
 @dataclass
 class Lexicon:
     """Folded terms with weights, folded exception phrases, and the calibration (bias and a weight per feature)."""
@@ -219,18 +223,26 @@ def sketch(words: set[str]) -> int:
     return sum(sorted(xxhash.xxh64_intdigest(w.encode()) for w in words)[:3]) % (1 << 63)
 
 
+def _scorer(lexicon: Lexicon, threshold: float):
+    """Scores Arrow batches, ``TOGETHER`` rows at a time: neither Python nor what goes back to the JVM holds the texts of a whole batch of ten thousand."""
+
+    def run(batches):
+        for batch in batches:
+            kept = [n for n in batch.schema.names if n not in ("tox_score", "tox_predicted")]
+            for first in range(0, batch.num_rows, TOGETHER):
+                b = batch.slice(first, TOGETHER)
+                s = np.array([lexicon.score(t) for t in b.column("text").to_pylist()], dtype=np.float64)
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "tox_score", "tox_predicted"])
+
+    return run
+
+
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """All columns of ``docs`` with ``tox_score`` (0 to 1) and ``tox_predicted`` (1 at ``threshold`` or more) in place of any so named.
 
     Only the text is read. Null and empty texts match nothing and get the score of no match.
     """
 
-    def run(batches):
-        for b in batches:
-            s = np.array([lexicon.score(t) for t in b.column("text").to_pylist()], dtype=np.float64)
-            kept = [n for n in b.schema.names if n not in ("tox_score", "tox_predicted")]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "tox_score", "tox_predicted"])
-
     kept = docs.drop("tox_score", "tox_predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", tox_score double, tox_predicted int"
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(_scorer(lexicon, threshold), schema)

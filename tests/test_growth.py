@@ -1,8 +1,10 @@
 """Work and memory that must not grow faster than the input."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evigraph.functions import html
+from evigraph.llm import toxicity
 from evigraph.operators import lookup, resolve
 
 
@@ -54,3 +56,11 @@ def test_series_in_blocks(spark, monkeypatch):
     want = sorted(str((a[0], b[0])) for a in rows for b in rows if a[1] == b[1] == "s" and None not in (a[2], b[2]) and a[2] != b[2])
     each = found.select("left_id", "right_id", F.spark_partition_id().alias("task")).collect()
     assert sorted(str((r.left_id, r.right_id)) for r in each) == want and len({r.task for r in each}) > 4
+
+
+def test_toxicity_by_few_rows():
+    """pipeline: texts of one Arrow batch aren't in Python all at once, and go back a few hundred at a time."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [None, *(f"text {i}" for i in range(999))]})
+    parts = list(toxicity._scorer(toxicity.Lexicon({"text": 1.0}), 0.7)(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 1 and max(p.num_rows for p in parts) <= 256
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(1000)) and {n for p in parts for n in p.schema.names} == {"doc_id", "text", "tox_score", "tox_predicted"}
