@@ -88,3 +88,19 @@ def test_line_dedup_of_null_and_repeated_ids(spark):
     kept = [t for i, _, _, t in got if i == "3"]
     assert sorted(kept) in (["first line here", "first line here", "other text here"], ["", "", "other text here\nfirst line here"])
     assert [g for g in got if g[0] == "None"] == [("None", 1, 1, ""), ("None", 2, 1, "own line one"), ("None", 2, 1, "own two")]
+
+
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Every step is DataFrame functions alone; lines that repeat themselves still meet."""
+    write, plans = linededup.written, []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(linededup, "written", seen)
+    rows = [(0, "-" * 80), (1, "-" * 95), (2, "so " * 50), (3, "so " * 55), (4, "this is another line that is like none of the others here")]
+    out = linededup.dedup_lines(make(spark, rows))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Arrow" in p or "Python" in p or "Pandas" in p]
+    assert {r.doc_id for r in out.collect() if r.n_kept} == {0, 2, 4}
