@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import linededup, packing, simhash, suffixdedup, toxicity
-from evigraph.llm.util import table, written
+from evigraph.llm.util import table, temporary, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -71,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary(spark) as keep:  # what a stage writes for itself goes with it
+            docs = keep(written(stage(spark, docs, sf_dir), name.replace(" ", "-")))
     return STAGES[-1][1](spark, docs, sf_dir)

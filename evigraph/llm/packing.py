@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +178,11 @@ def arranged(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]]:
     return out + [w for w in windows if w]
 
 
+def few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a thousand rows, whose texts are in Python one part at a time."""
+    return (batch.slice(s, 1000) for s in range(0, batch.num_rows, 1000))
+
+
 def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, buffer: int = BUFFER) -> DataFrame:
     """``docs(doc_id, text)`` -> one row a piece: doc_id, start, length, ids (binary, unsigned 32-bit
     little-endian), doc_tokens, sequence_id, offset.
@@ -186,6 +192,13 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, buffer:
     repeat are packed again, null ids are carried, other columns aren't read, no rows give none.
     """
 
+    def batch(rows: list):
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], key_type), *(pa.array(c, pa.int64()) for c in columns[1:3]), pa.array(columns[3], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[4:])],
+            names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+        )
+
     def emit(part: int, first: int, keys: list, ids: list[bytes]):
         rows = []
         windows = arranged([len(x) // 4 for x in ids], size)
@@ -194,12 +207,11 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, buffer:
             for i, start, n in pieces:
                 rows.append((keys[i], start, n, ids[i][4 * start : 4 * (start + n)], len(ids[i]) // 4, (part << 33) + first + w, at))
                 at += n
-        for s in range(0, len(rows), 4000):
-            columns = list(zip(*rows[s : s + 4000]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], key_type), *(pa.array(c, pa.int64()) for c in columns[1:3]), pa.array(columns[3], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[4:])],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
+            if len(rows) >= 4000:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
         return len(windows)
 
     def run(batches):
@@ -208,9 +220,8 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, buffer:
         part, tokenizer, tail = TaskContext.get().partitionId(), word_tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
         keys, ids, held, first = [], [], 0, 0
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for s in range(0, len(texts), 1000):
-                got = tokenizer.encode_all(texts[s : s + 1000])
+            for own in few(b):
+                got = tokenizer.encode_all([t or "" for t in own.column("text").to_pylist()])
                 ids += [x + tail for x in got]
                 held += sum(map(len, got)) // 4
             keys += b.column("doc_id").to_pylist()
